@@ -1,0 +1,105 @@
+"""Registered queries of the core operators over the test tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuskit.operators import setsim
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def is_license_file(path: Column) -> Column:
+    """License files: the file name begins with license, licence or copying; never null."""
+    return F.coalesce(F.regexp_replace(path, r"\\", "/").rlike(r"(?i)(^|/)(licen[sc]e|copying)[^/]*$"), F.lit(False))
+
+
+def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "code_records").filter(~is_license_file(F.col("path")))
+
+
+#: Word runs and similarity that the tables' description fixes for p5 and p7.
+CODE_K, CODE_SIMILARITY = 3, 0.7
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = code_texts(spark, sf_dir).select("record_id", "text")
+    links, members = setsim.chosen_path_pairs(df, "record_id", "text", CODE_K, CODE_SIMILARITY)
+    return setsim.expand_classes(links, members)
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = code_texts(spark, sf_dir).select("record_id", "text")
+    links, members = setsim.chosen_path_pairs(df, "record_id", "text", CODE_K, CODE_SIMILARITY)
+    return setsim.groups(links, members).withColumnRenamed("id", "record_id")
+
+
+def _splits() -> tuple[Column, Column]:
+    split = F.lower(F.trim("split"))
+    return split == "train", split.isin("validation", "test")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = code_texts(spark, sf_dir).select("record_id", "text", "split")
+    train, held = _splits()
+    links, members = setsim.banded_pairs(df, "record_id", "text", train, held, CODE_K, CODE_SIMILARITY)
+    return setsim.expand_across(links, members)
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out records that occur in train, and the pairs, per split and repository."""
+    pairs = p5_found(spark, sf_dir)
+    records = table(spark, sf_dir, "code_records").select(
+        F.col("record_id").alias("id"), F.lower(F.trim("split")).alias("split"), F.lower(F.trim("repo_name")).alias("repo_name")
+    )
+    ids = pairs.select(F.explode(F.array("record_id_a", "record_id_b")).alias("id"))
+    return (
+        ids.join(records, "id")
+        .filter("split <> 'train'")
+        .groupBy("split", "repo_name")
+        .agg(F.countDistinct("id").alias("records"), F.count(F.lit(1)).alias("pairs"))
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p7_found": p7_found,
+    "p7_groups": p7_groups,
+}
+
+_SHINGLES = r"""
+words as (
+    select record_id, lower(trim(split)) as split,
+           regexp_extract_all(lower(text), '[a-z0-9_]+') as w
+    from code_records
+    where text is not null
+      and not regexp_matches(coalesce(replace(path, '\', '/'), ''), '(?i)(^|/)(licen[sc]e|copying)[^/]*$')
+), sets as (
+    select record_id, split,
+           list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s
+    from words where len(w) >= 3
+), grams as (select record_id, unnest(s) as g from sets),
+shared as (
+    select a.record_id as a, b.record_id as b, count(*) as n
+    from grams a join grams b on a.g = b.g and a.record_id < b.record_id
+    group by 1, 2
+), alike as (
+    select a as record_id_a, b as record_id_b, x.split as split_a, y.split as split_b
+    from shared join sets x on x.record_id = a join sets y on y.record_id = b
+    where n >= 0.7 * (len(x.s) + len(y.s) - n)
+)"""
+
+SQL: dict[str, str] = {
+    "p7_found": f"with {_SHINGLES} select record_id_a, record_id_b from alike",
+    "p5_found": f"""with {_SHINGLES} select record_id_a, record_id_b from alike
+        where (split_a = 'train' and split_b in ('validation', 'test'))
+           or (split_b = 'train' and split_a in ('validation', 'test'))""",
+}
