@@ -23,15 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.shingles import MinHasher, exact_set, jaccard, shingle_set
-from corpuskit.runtime import cut, salted_join
+from corpuskit.runtime import BROADCAST_ROWS, cut, salted_join, sized
 
 #: Min-wise coordinates used by the first split, and those that travel along
 #: as single bytes (for estimates and for deeper splits).
-RUNS, TRAIL = 14, 48
+RUNS, TRAIL = 12, 32
 #: A bucket of at most so many sets is compared pairwise.
 SMALL = 64
 #: Fresh coordinates by which a large bucket is split, and the deepest split.
-FAN, DEPTH = 5, 4
+FAN, DEPTH = 2, 6
 
 
 def _floor(threshold: float, coords: int = TRAIL) -> int:
@@ -40,9 +40,10 @@ def _floor(threshold: float, coords: int = TRAIL) -> int:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int, runs: int = RUNS, trail: int = TRAIL) -> DataFrame:
-    """(id, set_hi, set_lo, n, heads array<bigint>, sig binary) of each text of at least k words.
+    """(id, set_hi, set_lo, heads binary, sig binary) of each text of at least k words.
 
-    ``set_hi, set_lo`` are 128 bits that name the set; null and short texts give no row.
+    ``set_hi, set_lo`` are 128 bits that name the set, ``heads`` has 4 bytes a
+    minimum, ``sig`` one; null and short texts give no row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,32 +59,34 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, runs: int = RU
                 m = hasher(s)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 hi, lo = (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
-                out.append((i, hi, lo, len(s), m[:runs].astype(np.int64), (m[runs:] & 255).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["id", "set_hi", "set_lo", "n", "heads", "sig"])
+                out.append((i, hi, lo, m[:runs].tobytes(), (m[runs:] & 255).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["id", "set_hi", "set_lo", "heads", "sig"])
 
     return (
         df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .filter("_id is not null and _text is not null")
-        .mapInPandas(run, "id bigint, set_hi bigint, set_lo bigint, n int, heads array<bigint>, sig binary")
+        .mapInPandas(run, "id bigint, set_hi bigint, set_lo bigint, heads binary, sig binary")
     )
 
 
 def set_classes(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: id, rep) and (classes: rep, n, heads, sig); rep is the least id with the same set.
+    """(members: id, rep) and (classes: rep, heads, sig); rep is the least id with the same set.
 
     Only sets that occur more than once are looked up; rows given twice count once.
     """
-    again = (
+    again, n = sized(
         sigs.groupBy("set_hi", "set_lo")
         .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"))
         .filter("c > 1")
         .drop("c")
     )
-    tagged = cut(sigs.join(again, ["set_hi", "set_lo"], "left").drop("set_hi", "set_lo"))
+    tagged = sigs.join(again, ["set_hi", "set_lo"], "left").drop("set_hi", "set_lo")
+    if n > BROADCAST_ROWS:
+        tagged = cut(tagged)
     alone, twins = tagged.filter("rep is null"), tagged.filter("rep is not null")
     members = alone.select("id", F.col("id").alias("rep")).union(twins.select("id", "rep").distinct())
-    classes = alone.select(F.col("id").alias("rep"), "n", "heads", "sig").union(
-        twins.filter("id = rep").dropDuplicates(["rep"]).select("rep", "n", "heads", "sig")
+    classes = alone.select(F.col("id").alias("rep"), "heads", "sig").union(
+        twins.filter("id = rep").dropDuplicates(["rep"]).select("rep", "heads", "sig")
     )
     return members, classes
 
@@ -135,6 +138,10 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
+def _bytes(c: str, start: Column, n: int) -> Column:
+    return F.substring(F.col(c), start, F.lit(n))
+
+
 def _agreeing(a: str, b: str, trail: int = TRAIL) -> Column:
     """Number of equal bytes of two trails, in the JVM."""
     same = F.transform(
@@ -157,38 +164,40 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
     (5e-8 at 0.7); each deeper level misses a pair of one bucket with (1-t)**FAN.
     """
     least = _floor(threshold)
-    rows = classes.select("rep", "sig", F.posexplode("heads").alias("i", "v")).select(
-        F.xxhash64("i", "v").alias("bucket"), "rep", "sig"
+    runs = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("i")
+    rows = classes.select("rep", "heads", "sig", runs).select(
+        F.xxhash64("i", _bytes("heads", F.col("i") * 4 + 1, 4)).alias("bucket"), "rep", "sig"
     )
     found: list[DataFrame] = []
     for depth in range(DEPTH + 1):
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sized = cut(rows.join(sizes, "bucket"))
+        # Large buckets are counted with a combine on the map side; their rows need no shuffle here.
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+        large, n = sized(sizes.filter(F.col("size") > small).select("bucket"))
         found.append(
-            sized.filter(F.col("size") <= small)
-            .select("bucket", "rep", "sig")
-            .repartition("bucket")
-            .sortWithinPartitions("bucket")
-            .mapInPandas(_small_bucket_pairs(least), "a bigint, b bigint")
+            cut(
+                (rows.join(large, "bucket", "left_anti") if n else rows)
+                .repartition("bucket")
+                .sortWithinPartitions("bucket")
+                .mapInPandas(_small_bucket_pairs(least), "a bigint, b bigint")
+            )
         )
-        large = sized.filter(F.col("size") > small).select("bucket", "rep", "sig")
-        if large.isEmpty():
+        if not n:
             break
+        rest = rows.join(large, "bucket")
         if depth == DEPTH:
-            right = large.select("bucket", F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+            right = rest.select("bucket", F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
             found.append(
-                salted_join(large.select("bucket", F.col("rep").alias("a"), F.col("sig").alias("sig_a")), right, "bucket", "a", "b")
+                salted_join(rest.select("bucket", F.col("rep").alias("a"), F.col("sig").alias("sig_a")), right, "bucket", "a", "b")
                 .filter("a < b")
                 .filter(_agreeing("sig_a", "sig_b") >= least)
                 .select("a", "b")
             )
             break
         place = F.pmod(F.xxhash64("bucket", "j"), F.lit(TRAIL)).cast("int") + 1
-        rows = (
-            large.select("*", F.explode(F.sequence(F.lit(1), F.lit(FAN))).alias("j"))
+        rows = cut(
+            rest.select("*", F.explode(F.sequence(F.lit(1), F.lit(FAN))).alias("j"))
             .select("*", place.alias("p"))
-            .select(F.xxhash64("bucket", "p", F.substring("sig", F.col("p"), F.lit(1))).alias("bucket"), "rep", "sig")
-            .distinct()
+            .select(F.xxhash64("bucket", "p", _bytes("sig", F.col("p"), 1)).alias("bucket"), "rep", "sig")
         )
     return reduce(DataFrame.union, found).distinct()
 
@@ -205,7 +214,7 @@ def banded_candidates(
     band = F.explode(
         F.transform(
             F.sequence(F.lit(0), F.lit(bands - 1)),
-            lambda i: F.xxhash64(i, F.slice("heads", i * width + 1, width)),
+            lambda i: F.xxhash64(i, _bytes("heads", i * (4 * width) + 1, 4 * width)),
         )
     ).alias("bucket")
     rows = classes.join(sides, "rep").filter("left or right").select("rep", "sig", "left", "right", band)
@@ -238,7 +247,7 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int
             yield out[out["similarity"] >= threshold]
 
     pairs = cut(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids, _ = sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
     return (
         pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -253,7 +262,7 @@ def expand_classes(class_pairs: DataFrame, members: DataFrame) -> DataFrame:
     ma = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
     mb = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     across = class_pairs.select("a", "b").join(ma, "a").join(mb, "b").select("x", "y")
-    several = members.filter("id <> rep").select("rep").distinct()
+    several, _ = sized(members.filter("id <> rep").select("rep").distinct())
     twins = members.join(several, "rep", "left_semi")
     within = salted_join(
         twins.select("rep", F.col("id").alias("x")), twins.select("rep", F.col("id").alias("y")), "rep", "x", "y"

@@ -40,30 +40,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of at most so many rows of a few numbers (some 32 MB) may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """A narrow table and its number of rows; marked for broadcast only if that number is at most ``most``."""
+    df = cut(df)
+    n = df.count()
+    return (F.broadcast(df) if n <= most else df), n
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, block: int = BLOCK
 ) -> DataFrame:
     """Inner equi-join on ``key`` that spreads hot keys over many tasks.
 
-    Both sides are cut into blocks of about ``block`` rows of a key; the left
-    rows go to one block, the right rows are repeated for each left block. A
-    key of n x m rows is thus worked on by n/block tasks, none of which holds
-    more than ``block`` left rows of the key. No row is lost or doubled.
+    The left rows of a key are cut into blocks of about ``block`` rows, the
+    right rows are repeated for each block. A key of n x m rows is thus worked
+    on by n/block tasks, none of which holds more than about ``block`` left
+    rows of the key. No row is lost or doubled.
     """
-    blocks = (
-        left.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_blocks"))
-    )
-    hot = blocks.filter("_blocks > 1")
-    # Blocks default to one, so only hot keys need the lookup.
+    blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_blocks")
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
+    hot, n = sized(counts.select(key, blocks))
+    if not n:
+        return left.join(right, key)
     lt = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(left_id), F.col("_blocks")).cast("int"))
-    ).drop("_blocks")
+        "_salt", F.coalesce(F.pmod(F.xxhash64(left_id), F.col("_blocks")), F.lit(0)).cast("int")
+    )
     rt = right.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_blocks"), F.lit(1)) - 1))
-    ).drop("_blocks")
-    return lt.join(rt, [key, "_salt"]).drop("_salt")
+    )
+    return lt.drop("_blocks").join(rt.drop("_blocks"), [key, "_salt"]).drop("_salt")
 
 
 def blank_to_null(c: Column) -> Column:
