@@ -135,7 +135,7 @@ def _small_bucket_pairs(least: int):
 
 
 def _ordered(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
 
 
 def _bytes(c: str, start: Column, n: int) -> Column:
@@ -193,7 +193,7 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
                 .select("a", "b")
             )
             break
-        place = F.pmod(F.xxhash64("bucket", "j"), F.lit(TRAIL)).cast("int") + 1
+        place = F.pmod(F.xxhash64("bucket") + F.col("j"), F.lit(TRAIL)).cast("int") + 1  # FAN different ones
         rows = cut(
             rest.select("*", F.explode(F.sequence(F.lit(1), F.lit(FAN))).alias("j"))
             .select("*", place.alias("p"))
