@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import docpairs, syntax
+from corpuskit.llm import docpairs, prose, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,11 +37,21 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(syntax.with_faults(df, ["repo"]), ["repo", "language"])
 
 
+def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.prose_statistics(_documents(spark, sf_dir))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.prose_statistics(_documents(spark, sf_dir)).filter("not is_prose").select("doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
+    "p10_found": p10_found,
+    "p10_stats": p10_stats,
 }
 
 SQL: dict[str, str] = {}
