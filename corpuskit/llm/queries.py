@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import docpairs, prose, syntax
+from corpuskit.llm import docpairs, leaks, prose, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,14 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(syntax.with_faults(df, ["repo"]), ["repo", "language"])
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(p8_found(spark, sf_dir))
+
+
 def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.prose_statistics(_documents(spark, sf_dir))
 
@@ -50,6 +58,8 @@ QUERIES: dict[str, Query] = {
     "p1_pairs": p1_pairs,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
     "p10_found": p10_found,
     "p10_stats": p10_stats,
 }
