@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import docpairs, leaks, prose, syntax
+from corpuskit.llm import docpairs, leaks, licenses, prose, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,18 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented(_records(spark, sf_dir), ["record_id", "repo_name", "path"])
 
 
+def p3_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.verdicts(_records(spark, sf_dir), ["record_id"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_verdicts(spark, sf_dir).filter("not (verdict <=> column_license)").select("record_id", "verdict")
+
+
+def p3_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.by_directory(_records(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.with_faults(_records(spark, sf_dir), ["record_id"]).filter("fault is not null").select("record_id")
 
@@ -56,6 +68,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
+    "p3_found": p3_found,
+    "p3_verdicts": p3_verdicts,
+    "p3_directories": p3_directories,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p8_found": p8_found,
