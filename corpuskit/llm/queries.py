@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import docpairs, leaks, licenses, prose, syntax
+from corpuskit.llm import docpairs, leaks, licenses, origin, prose, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,14 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented(_records(spark, sf_dir), ["record_id", "repo_name", "path"])
 
 
+def p2_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.origins(_records(spark, sf_dir)).select("record_id", "reason", "probability")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.origins(_records(spark, sf_dir)).filter("reason is not null").select("record_id")
+
+
 def p3_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.verdicts(_records(spark, sf_dir), ["record_id"])
 
@@ -68,6 +76,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
+    "p2_found": p2_found,
+    "p2_origins": p2_origins,
     "p3_found": p3_found,
     "p3_verdicts": p3_verdicts,
     "p3_directories": p3_directories,
