@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.operators import setsim
+from corpuskit.operators import packing, setsim
+
+from corpuskit.runtime import sized
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,7 +70,27 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "code_records")
+    links, members = setsim.chosen_path_pairs(records.select("record_id", "text"), "record_id", "text")
+    clusters = setsim.groups(links, members).select(F.col("id").alias("record_id"), F.col("group_id").alias("cluster"))
+    # Only groups of two or more can conflict; records outside them need no cluster.
+    several = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster")
+    clusters, _ = sized(clusters.join(several, "cluster").dropDuplicates(["record_id"]))
+    items = records.select(
+        "record_id", packing.item_length(F.col("byte_count"), F.col("text")).alias("length"), F.lower(F.trim("repo_name")).alias("source")
+    ).join(clusters, "record_id", "left")
+    packed = packing.pack(items.withColumnRenamed("record_id", "id"), table(spark, sf_dir, "packing_settings"))
+    return packed.withColumnRenamed("id", "record_id")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p4_containers(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "p4_containers": p4_containers,
+    "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p7_found": p7_found,
