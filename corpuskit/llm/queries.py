@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import docpairs, leaks, licenses, origin, prose, syntax
+from corpuskit.llm import docpairs, leaks, licenses, mixing, origin, prose, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,18 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(p8_found(spark, sf_dir))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
+    return mixing.mixed(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))
+
+
+def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, sf_dir))
+
+
 def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.prose_statistics(_documents(spark, sf_dir))
 
@@ -85,6 +97,8 @@ QUERIES: dict[str, Query] = {
     "p6_rates": p6_rates,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p9_copies": p9_copies,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_stats": p10_stats,
 }
