@@ -105,6 +105,14 @@ def _rounded(rows: Iterator[tuple[str, int, int, float]], seed: int) -> pd.DataF
     return res.astype({"extra": "Int32", "w": "Int64", "p": "Float64", "id": "int64"})
 
 
+def _combiner(seed: int):
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        return _rounded(zip(pdf["source"], pdf["id"], pdf["w"], pdf["p"]), seed)
+
+    return combine
+
+
 def _plan(sizes: DataFrame, targets: DataFrame, total: int | None) -> list[dict]:
     """Per target source: available tokens and the expected copies of each of its documents.
 
@@ -191,12 +199,8 @@ def mixed(
             break
         bunch = -(-most // FAN_IN)
 
-        def combine(pdf: pd.DataFrame, level: int = level) -> pd.DataFrame:
-            pdf = pdf.sort_values("id")
-            return _rounded(zip(pdf["source"], pdf["id"], pdf["w"], pdf["p"]), seed + level)
-
         step = cut(
-            left.withColumn("bunch", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(bunch))).groupBy("source", "bunch").applyInPandas(combine, _STEP)
+            left.withColumn("bunch", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(bunch))).groupBy("source", "bunch").applyInPandas(_combiner(seed + level), _STEP)
         )
         settled = settled.union(step.filter("extra is not null").select("source", "id", "extra"))
         left = step.filter("extra is null").select("source", "id", "w", "p")
