@@ -131,8 +131,11 @@ def readable_size(n: Column) -> Column:
 
 def first_fenced_block(c: Column) -> Column:
     """The first non-empty fenced block tagged python, py or nothing; empty if none."""
-    blocks = F.regexp_extract_all(c, F.lit(r"(?is)```(?:python|py)?[ \t]*\n(.*?)```"), F.lit(1))
-    full = F.filter(F.transform(blocks, lambda x: F.regexp_replace(x, "\\A\\s+|\\s+\\z", "")), lambda x: x != "")
+    fence = F.lit(r"(?s)```([^\n`]*)\n(.*?)```")
+    tags, bodies = F.regexp_extract_all(c, fence, F.lit(1)), F.regexp_extract_all(c, fence, F.lit(2))
+    bare = lambda x: F.regexp_replace(x, "\\A\\s+|\\s+\\z", "")
+    wanted = F.zip_with(tags, bodies, lambda t, x: F.when(F.lower(F.trim(t)).isin("", "py", "python"), bare(x)))
+    full = F.filter(wanted, lambda x: x != "")
     return F.coalesce(F.try_element_at(full, F.lit(1)), F.lit(""))
 
 

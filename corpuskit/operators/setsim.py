@@ -254,6 +254,7 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int
         .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .sortWithinPartitions("a")
         .mapInPandas(run, "a bigint, b bigint, similarity double")
+        .dropDuplicates(["a", "b"])  # rows given twice have their text twice
     )
 
 

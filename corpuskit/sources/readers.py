@@ -57,9 +57,7 @@ def scan_tree(
 
 def decoded(content: Column) -> Column:
     """UTF-8 text without byte order mark; null where the bytes are not valid UTF-8."""
-    text = F.try_validate_utf8(F.decode(content, "UTF-8"))
-    valid = F.encode(text, "UTF-8") == content
-    return F.when(valid, F.regexp_replace(text, "^﻿", ""))
+    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^\ufeff", "")
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
