@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
-from corpuskit.operators import dedup, evalmetrics, htmltext, pysource, quality, reports, setsim, sft, splits, tokens, windows
+from corpuskit.operators import dedup, evalmetrics, htmltext, index, pysource, quality, reports, setsim, sft, splits, tokens, windows
 from corpuskit.plans import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,7 +171,13 @@ def repeated_lines(d):
     return quality.repeated_lines(d, "doc_id", "text").select("doc_id", F.round("repeated_share", 6).alias("repeated_share"))
 
 
-@query("documents")
+_SCORE = (
+    " + ".join(f"regexp_matches(lower(text), '\\b{t}\\b')::int" for t in quality.TECHNICAL_TERMS)
+    + r""" + least(3, len(regexp_extract_all(text, '(?m)`[^`]+`|```|::|^\s{4,}\S'))) + least(3, len(regexp_extract_all(text, '\b[a-zA-Z_][a-zA-Z0-9_]*\(')))"""
+)
+
+
+@query("documents", sql=f"select doc_id, {_SCORE} as score from documents where text is not null")
 def technical_scores(d):
     return d.filter("text is not null").select("doc_id", quality.technical_score(F.col("text")).alias("score"))
 
@@ -501,9 +507,45 @@ def vocabulary(d):
     return tokens.vocabulary(d, "doc_id", "text", 2000)
 
 
-@query("documents")
+_VOCABULARY = f"""t as (select unnest({_TOKENS}) as token from documents), n as (select token, count(*) as frequency from t group by 1 having count(*) >= 2),
+    v as (select token, row_number() over (order by frequency desc, token) + 4 as token_id from n qualify row_number() over (order by frequency desc, token) <= 1995)"""
+
+
+@query(
+    "documents",
+    sql=f"""with {_VOCABULARY}, w as (select doc_id, {_TOKENS} as a from documents where text is not null),
+    p as (select doc_id, unnest(a) as token, generate_subscripts(a, 1) as pos from w)
+    select doc_id, md5(string_agg(coalesce(token_id, 1)::varchar, ' ' order by pos)) as ids, count(*) as n from p left join v using (token) group by 1""",
+)
 def encoded(d):
-    return tokens.encode(d, tokens.vocabulary(d, "doc_id", "text", 2000), "doc_id", "text")
+    e = tokens.encode(d, tokens.vocabulary(d, "doc_id", "text", 2000), "doc_id", "text")
+    return e.select("doc_id", F.md5(F.array_join("ids", " ")).alias("ids"), F.size("ids").cast("bigint").alias("n"))
+
+
+@query("documents", sql=f"with w as (select doc_id, {_TOKENS} as a from documents where text is not null) select doc_id, md5(array_to_string(a, ' ')) as tokens from w where len(a) > 0")
+def round_trip(d):
+    """Texts encoded with the full vocabulary and decoded again."""
+    v = tokens.vocabulary(d, "doc_id", "text", 1_000_000, 1)
+    back = tokens.decode(tokens.encode(d, v, "doc_id", "text"), v, "doc_id", "ids")
+    return back.select("doc_id", F.md5(F.array_join("tokens", " ")).alias("tokens"))
+
+
+@query(
+    "eval_items",
+    sql=r"""with c as (select item_id, list_filter(string_split(regexp_replace(regexp_replace(prompt, '^\s+', ''), '[\r\n]+', chr(10), 'g'), ''),
+        lambda x: x <> '' and (x = chr(10) or not regexp_matches(x, '^[\s\x0B\x85\p{Z}\x{1c}-\x{1f}]$'))) as c from eval_items where prompt is not null)
+    select item_id, len(c) as n, len(list_filter(c, lambda x: x = chr(10))) as newlines from c""",
+)
+def character_tokens(e):
+    c = e.filter("prompt is not null").select("item_id", tokens.characters(F.col("prompt")).alias("c"))
+    return c.select("item_id", F.size("c").cast("bigint").alias("n"), F.size(F.filter("c", lambda x: x == "<NL>")).cast("bigint").alias("newlines"))
+
+
+@query("eval_items")
+def masked_examples(e):
+    ids = lambda c: F.transform(T.tokens(F.lower(F.coalesce(F.col(c), F.lit("")))), lambda x: (F.pmod(F.xxhash64(x), F.lit(30_000)) + 5).cast("int"))
+    inputs, labels = tokens.masked_example(ids("prompt"), ids("answer"), 256)
+    return e.select("item_id", inputs.alias("inputs"), labels.alias("labels"))
 
 
 # Evaluation
@@ -648,10 +690,52 @@ def path_search(r):
     return r.filter(hit("path") | hit("repo_name")).select("record_id", "path", "repo_name")
 
 
+@query("code_records")
+def index_search(r):
+    py = r.filter(pysource.is_python(F.col("path")))
+    found = index.search(
+        r.select("record_id", "path", "repo_name"), pysource.definitions(py, ["record_id"]), pysource.file_categories(py, ["record_id"]), "parse", "object_oriented"
+    )
+    return found.select("record_id", "path", F.array_join("categories", ",").alias("categories"), F.array_join("symbols", ",").alias("symbols"))
+
+
+@query(
+    "source_manifest",
+    "code_records",
+    sql="""with m as (select record_id, min(content_sha256) as o from source_manifest where record_id is not null group by 1),
+    c as (select record_id, sha256(text) as n from code_records)
+    select coalesce(m.record_id, c.record_id) as record_id, case when m.record_id is null then 'new' when c.record_id is null then 'gone'
+        when o is not distinct from n then 'unchanged' else 'changed' end as state from m full join c on m.record_id = c.record_id""",
+)
+def manifest_states(m, r):
+    old = m.filter("record_id is not null").groupBy("record_id").agg(F.min("content_sha256").alias("h"))
+    return index.incremental(old, r.select("record_id", F.sha2("text", 256).alias("h")), "record_id", "h")
+
+
+@query(
+    "repositories",
+    "mix_targets",
+    sql="""select source_id, approval from repositories where source_id not in (select source_id from repositories where approval is null)
+        union all select source_id, 'pending' from repositories where approval is null""",
+)
+def repository_upsert(p, _):
+    pending = p.filter("approval is null").select("source_id", F.lit("pending").alias("approval"))
+    return index.upsert(p.select("source_id", "approval"), pending, "source_id")
+
+
 # The build as a whole
 
 
-@query("code_records")
+_BUILD = f"""c as ({SQL['clean_reasons']}), n as (select record_id, {_NORM_TEXT} as t from code_records),
+    k as (select record_id, sha256(t) as e, sha256({_LOOSE.format('t')}) as l from n join c using (record_id) where reason = 'accepted'),
+    f as (select l, min(record_id) as first, arg_min(e, record_id) as fe from k group by 1),
+    d as (select record_id, case when first < record_id then case when fe = e then 'exact_duplicate' else 'normalized_duplicate' end end as dup,
+        case when first < record_id then first end as duplicate_of from k join f using (l)),
+    b as (select c.record_id, coalesce(case when reason <> 'accepted' then reason end, dup, 'accepted') as reason, duplicate_of, octet_length(encode(t)) as n_tokens
+        from c join n using (record_id) left join d using (record_id))"""
+
+
+@query("code_records", sql=f"with {_BUILD} select * from b")
 def corpus_build(r):
     stages, _ = corpus.build(r, 1025)
     return stages
@@ -663,7 +747,7 @@ def corpus_sequences(r):
 
 
 #: The flagship: reasons of the corpus build and their counts.
-@query("code_records")
+@query("code_records", sql=f"with {_BUILD} select reason, count(*) as records, sum(n_tokens)::bigint as tokens from b group by 1")
 def build_report(r):
     stages, _ = corpus.build(r, 1025)
     return stages.groupBy("reason").agg(F.count(F.lit(1)).alias("records"), F.sum("n_tokens").alias("tokens"))

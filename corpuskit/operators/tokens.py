@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
@@ -58,3 +58,45 @@ def token_statistics(df: DataFrame, count_col: str) -> DataFrame:
         F.min(count_col).alias("least"),
         F.max(count_col).alias("most"),
     ).join(F.broadcast(p95))  # one row
+
+
+def decode(df: DataFrame, vocab: DataFrame, id_col: str, ids: str) -> DataFrame:
+    """(id, tokens array<string>): the tokens of the ids in order; ids outside the vocabulary become <UNK>, specials their names."""
+    names = F.array(*[F.lit(s) for s in SPECIALS])
+    rows = df.select(id_col, F.posexplode(ids).alias("pos", "token_id")).join(F.broadcast(vocab.select("token_id", "token")), "token_id", "left")
+    special = F.when(F.col("token_id").between(0, len(SPECIALS) - 1), F.get(names, F.col("token_id").cast("int")))
+    pairs = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", special, F.lit("<UNK>")).alias("token"))))
+    return rows.groupBy(id_col).agg(F.transform(pairs, lambda p: p["token"]).alias("tokens"))
+
+
+def detokenize(tokens: Column) -> Column:
+    """Tokens joined by blanks, none before closing and after opening punctuation."""
+    text = F.array_join(tokens, " ")
+    text = F.regexp_replace(text, r" (?=[.,;:!?)\]}%])", "")
+    return F.regexp_replace(text, r"(?<=[(\[{]) ", "")
+
+
+def characters(t: Column, newline: str | None = SPECIALS[4]) -> Column:
+    """Non-blank characters; runs of line ends become one newline token, none at the start."""
+    lined = F.regexp_replace(F.regexp_replace(t, r"\A[\r\n\s]+", ""), r"[\r\n]+", "\n")
+    chars = F.filter(F.split(lined, ""), lambda c: (c != "") & (~c.rlike(r"(?U)^[\s&&[^\n]]$")))
+    if newline is None:
+        return F.filter(chars, lambda c: c != "\n")
+    return F.transform(chars, lambda c: F.when(c == "\n", newline).otherwise(c))
+
+
+def bounded(ids: Column, bos: bool, eos: bool, boundary: str = "none") -> Column:
+    """Ids with BOS and EOS as the flags or the boundary (eos, eos_bos) ask; empty arrays stay empty."""
+    head = F.array(F.lit(2)) if bos or boundary == "eos_bos" else F.array().cast("array<int>")
+    tail = F.array(F.lit(3)) if eos or boundary in ("eos", "eos_bos") else F.array().cast("array<int>")
+    return F.when(F.size(ids) > 0, F.concat(head, ids, tail)).otherwise(ids)
+
+
+def masked_example(prompt: Column, answer: Column, context: int, pad: int = 0, ignore: int = -100) -> tuple[Column, Column]:
+    """(inputs, labels) of ``context`` ids: BOS prompt answer EOS, cut to context + 1 with EOS last, labels of the prompt ignored, padded."""
+    whole = F.concat(F.array(F.lit(2)), prompt, answer, F.array(F.lit(3)))
+    cut = F.when(F.size(whole) > context + 1, F.concat(F.slice(whole, 1, context), F.array(F.lit(3)))).otherwise(whole)
+    masked = F.least(F.size(prompt), F.size(cut) - 1)  # labels are shifted by one, so BOS's label is the prompt's first id
+    labels = F.concat(F.array_repeat(F.lit(ignore), masked), F.slice(cut, masked + 2, context))
+    fill = lambda a, x: F.concat(a, F.array_repeat(F.lit(x), F.greatest(F.lit(0), F.lit(context) - F.size(a))))
+    return fill(F.slice(cut, 1, F.size(cut) - 1), pad), fill(labels, ignore)
