@@ -151,7 +151,32 @@ def _agreeing(a: str, b: str, trail: int = TRAIL) -> Column:
     return F.aggregate(same, F.lit(0), lambda x, y: x + y)
 
 
-def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
+def _dense(rest: DataFrame, threshold: float, small: int) -> DataFrame:
+    """Rows of large buckets with ``leader`` (the bucket's least rep) and ``dense``: alike to the leader, in a bucket with many such rows."""
+    sure = math.ceil(TRAIL * (threshold + (1 - threshold) / 3))
+    leaders = rest.groupBy("bucket").agg(F.min(F.struct("rep", "sig")).alias("l")).select(
+        "bucket", F.col("l.rep").alias("leader"), F.col("l.sig").alias("sig_l")
+    )
+    leaders, _ = sized(leaders)
+    alike = rest.join(leaders, "bucket").select("bucket", "rep", "sig", "leader", (_agreeing("sig", "sig_l") >= sure).alias("alike"))
+    alike = cut(alike)
+    crowded, _ = sized(alike.filter("alike").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small // 2).select("bucket", F.lit(True).alias("crowded")))
+    return alike.join(crowded, "bucket", "left").withColumn("dense", F.col("alike") & F.coalesce("crowded", F.lit(False))).drop("alike", "crowded")
+
+
+def _within_buckets(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """Candidate pairs of left and right rows of a bucket, in salted blocks."""
+    lt = left.select("bucket", F.col("rep").alias("x"), F.col("sig").alias("sig_x"))
+    rt = right.select("bucket", F.col("rep").alias("y"), F.col("sig").alias("sig_y"))
+    return (
+        salted_join(lt, rt, "bucket", "x", "y")
+        .filter("x <> y")
+        .filter(_agreeing("sig_x", "sig_y") >= least)
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    )
+
+
+def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SMALL, complete: bool = True) -> DataFrame:
     """Distinct candidate pairs (a < b) of classes by the chosen-path join.
 
     Level 0 splits all sets by RUNS independent min-wise tokens. A bucket of at
@@ -160,6 +185,12 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
     What is still large then (truly similar sets, mostly) is compared in blocks
     spread over many tasks; no bucket is capped and no set dropped.
 
+    Splitting can't part truly similar sets. Where many sets of a large bucket
+    are like its first one, these are compared with the whole bucket at once
+    and leave it. With ``complete`` false they are only linked to the first
+    one: enough for groups (a set that is like a group's members but not like
+    their first one may be missed in that bucket), and linear in their number.
+
     A pair of similarity t is missed by level 0 with probability (1-t)**RUNS
     (5e-8 at 0.7); each deeper level misses a pair of one bucket with (1-t)**FAN.
     """
@@ -183,15 +214,16 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
         )
         if not n:
             break
-        rest = rows.join(large, "bucket")
+        rest = _dense(rows.join(large, "bucket"), threshold, small)
+        if complete:
+            found.append(cut(_within_buckets(rest.filter("dense"), rest, least)))
+            rest = rest.filter("not dense")
+        else:
+            found.append(rest.filter("dense and rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
+            rest = rest.filter("not dense or rep = leader")
+        rest = rest.select("bucket", "rep", "sig")
         if depth == DEPTH:
-            right = rest.select("bucket", F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-            found.append(
-                salted_join(rest.select("bucket", F.col("rep").alias("a"), F.col("sig").alias("sig_a")), right, "bucket", "a", "b")
-                .filter("a < b")
-                .filter(_agreeing("sig_a", "sig_b") >= least)
-                .select("a", "b")
-            )
+            found.append(_within_buckets(rest, rest, least))
             break
         place = F.pmod(F.xxhash64("bucket") + F.col("j"), F.lit(TRAIL)).cast("int") + 1  # FAN different ones
         rows = cut(
@@ -274,16 +306,19 @@ def expand_classes(class_pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def chosen_path_pairs(
-    df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8
+    df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, complete: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates of a table: (links between classes: a, b, similarity) and (members: id, rep).
 
+    With ``complete`` false crowded buckets give links to one set of theirs
+    only, which is enough to group (see ``chosen_path_candidates``).
+
     Null and short texts (fewer than k words) are in no class; equal sets are
     one class, represented by its least id; repeated ids count once a row. An
     empty table gives empty results. Other columns don't matter.
     """
     members, classes = set_classes(cut(signatures(df, id_col, text_col, k)))
-    pairs = chosen_path_candidates(classes, threshold)
+    pairs = chosen_path_candidates(classes, threshold, SMALL, complete)
     return verified(pairs, df, id_col, text_col, k, threshold), members
 
 

@@ -72,7 +72,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "code_records")
-    links, members = setsim.chosen_path_pairs(records.select("record_id", "text"), "record_id", "text")
+    links, members = setsim.chosen_path_pairs(records.select("record_id", "text"), "record_id", "text", complete=False)
     clusters = setsim.groups(links, members).select(F.col("id").alias("record_id"), F.col("group_id").alias("cluster"))
     # Only groups of two or more can conflict; records outside them need no cluster.
     several = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster")

@@ -72,7 +72,10 @@ def salted_join(
     rt = right.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_blocks"), F.lit(1)) - 1))
     )
-    return lt.drop("_blocks").join(rt.drop("_blocks"), [key, "_salt"]).drop("_salt")
+    # A given number of partitions: few bytes of a hot key are much work, so partitions must not be merged by size.
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df: df.drop("_blocks").repartition(parts, key, "_salt")
+    return spread(lt).join(spread(rt), [key, "_salt"]).drop("_salt")
 
 
 def blank_to_null(c: Column) -> Column:
