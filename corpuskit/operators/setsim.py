@@ -31,7 +31,9 @@ RUNS, TRAIL = 12, 32
 #: A bucket of at most so many sets is compared pairwise.
 SMALL = 64
 #: Fresh coordinates by which a large bucket is split, and the deepest split.
-FAN, DEPTH = 2, 6
+FAN, DEPTH = 2, 5
+#: Levels at which crowds of similar sets are taken out of large buckets.
+CROWDS = (0, 2)
 
 
 def _floor(threshold: float, coords: int = TRAIL) -> int:
@@ -151,17 +153,12 @@ def _agreeing(a: str, b: str, trail: int = TRAIL) -> Column:
     return F.aggregate(same, F.lit(0), lambda x, y: x + y)
 
 
-def _dense(rest: DataFrame, threshold: float, small: int) -> DataFrame:
-    """Rows of large buckets with ``leader`` (the bucket's least rep) and ``dense``: alike to the leader, in a bucket with many such rows."""
+def _alike(rest: DataFrame, threshold: float) -> DataFrame:
+    """Rows of large buckets with ``leader``, the bucket's least rep, and ``alike``: surely similar to it."""
     sure = math.ceil(TRAIL * (threshold + (1 - threshold) / 3))
-    leaders = rest.groupBy("bucket").agg(F.min(F.struct("rep", "sig")).alias("l")).select(
-        "bucket", F.col("l.rep").alias("leader"), F.col("l.sig").alias("sig_l")
-    )
-    leaders, _ = sized(leaders)
-    alike = rest.join(leaders, "bucket").select("bucket", "rep", "sig", "leader", (_agreeing("sig", "sig_l") >= sure).alias("alike"))
-    alike = cut(alike)
-    crowded, _ = sized(alike.filter("alike").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small // 2).select("bucket", F.lit(True).alias("crowded")))
-    return alike.join(crowded, "bucket", "left").withColumn("dense", F.col("alike") & F.coalesce("crowded", F.lit(False))).drop("alike", "crowded")
+    leaders, _ = sized(rest.groupBy("bucket").agg(F.min(F.struct("rep", "sig")).alias("l")))
+    alike = _agreeing("sig", "l.sig") >= sure
+    return cut(rest.join(leaders, "bucket").select("bucket", "rep", "sig", F.col("l.rep").alias("leader"), alike.alias("alike")))
 
 
 def _within_buckets(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
@@ -185,9 +182,9 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
     What is still large then (truly similar sets, mostly) is compared in blocks
     spread over many tasks; no bucket is capped and no set dropped.
 
-    Splitting can't part truly similar sets. Where many sets of a large bucket
-    are like its first one, these are compared with the whole bucket at once
-    and leave it. With ``complete`` false they are only linked to the first
+    Splitting can't part truly similar sets. At the levels in CROWDS the sets
+    that are like the first one of their large bucket are compared with the
+    whole bucket at once and leave it. With ``complete`` false they are only linked to the first
     one: enough for groups (a set that is like a group's members but not like
     their first one may be missed in that bucket), and linear in their number.
 
@@ -214,14 +211,16 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
         )
         if not n:
             break
-        rest = _dense(rows.join(large, "bucket"), threshold, small)
-        if complete:
-            found.append(cut(_within_buckets(rest.filter("dense"), rest, least)))
-            rest = rest.filter("not dense")
-        else:
-            found.append(rest.filter("dense and rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-            rest = rest.filter("not dense or rep = leader")
-        rest = rest.select("bucket", "rep", "sig")
+        rest = rows.join(large, "bucket")
+        if depth in CROWDS:
+            rest = _alike(rest, threshold)
+            if complete:
+                found.append(_within_buckets(rest.filter("alike"), rest, least))
+                rest = rest.filter("not alike")
+            else:
+                found.append(rest.filter("alike and rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
+                rest = rest.filter("not alike or rep = leader")
+            rest = rest.select("bucket", "rep", "sig")
         if depth == DEPTH:
             found.append(_within_buckets(rest, rest, least))
             break
