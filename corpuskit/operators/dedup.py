@@ -51,36 +51,52 @@ def groups(df: DataFrame, key: str, id_col: str) -> DataFrame:
     )
 
 
-def greedy_survivors(edges: DataFrame, nodes: DataFrame, id_col: str = "id", most_rounds: int = 100) -> DataFrame:
+#: At most so many undecided edges are finished in one task, as a stream.
+STREAM_EDGES = 1_000_000
+
+
+def _rejected_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rejected ids of all edges, given in order of b: the edges that decide an a come before those from it."""
+    rejected: set[int] = set()
+    for batch in batches:
+        new = []
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            if a not in rejected and b not in rejected:
+                rejected.add(b)
+                new.append(b)
+        yield pd.DataFrame({"b": pd.Series(new, dtype="int64")})
+
+
+def greedy_survivors(edges: DataFrame, nodes: DataFrame, id_col: str = "id", most_rounds: int = 100, stream: int = STREAM_EDGES) -> DataFrame:
     """(id, accepted, duplicate_of): rows in order of id; a row is rejected if an accepted earlier row is linked to it.
 
-    ``edges`` has (a, b), a < b. Rounds decide all rows whose earlier neighbours
-    are decided; there are as many as the longest chain of earlier neighbours.
-    Rows without edges are accepted and take no part.
+    ``edges`` has (a, b), a < b; ``duplicate_of`` is the least accepted neighbour.
+    In each round rows without open earlier neighbours are accepted and all rows
+    linked to them rejected, so a group of mutually linked rows takes one round;
+    a chain takes one for every two rows. When at most ``stream`` edges are open,
+    one task decides them in order. Raises if rows are open after
+    ``most_rounds``. Rows without edges are accepted and take no part.
     """
     edges = cut(edges.select("a", "b").distinct())
-    state = cut(
-        edges.select(F.explode(F.array("a", "b")).alias(id_col)).distinct().select(id_col, F.lit(None).cast("boolean").alias("accepted"), F.lit(None).cast("bigint").alias("duplicate_of"))
-    )
-    for _ in range(most_rounds):
-        earlier = (
-            edges.join(state.select(F.col(id_col).alias("a"), F.col("accepted").alias("of_a")), "a")
-            .groupBy("b")
-            .agg(
-                F.min(F.when(F.col("of_a"), F.col("a"))).alias("by"),
-                F.count_if(F.col("of_a").isNull()).alias("open"),
-            )
-        )
-        j = state.join(earlier, state[id_col] == earlier["b"], "left")
-        # An accepted neighbour rejects at once; the earliest of them is known once no earlier one is open.
-        decided = F.when(F.coalesce("open", F.lit(0)) == 0, F.col("by").isNull())
-        state = cut(
-            j.select(id_col, F.coalesce("accepted", decided).alias("accepted"), F.when(F.coalesce("open", F.lit(0)) == 0, F.col("by")).alias("duplicate_of"))
-        )
-        if state.filter("accepted is null").isEmpty():
+    rejected = edges.select("b").limit(0)
+    live = edges
+    for _ in range(most_rounds + 1):
+        n = live.count()
+        if n <= stream:
             break
-    return nodes.select(id_col).join(state, id_col, "left").select(
-        id_col, F.coalesce("accepted", F.lit(True)).alias("accepted"), "duplicate_of"
+        firsts = live.select("a").distinct().join(live.select(F.col("b").alias("a")), "a", "left_anti")
+        losers = cut(live.join(firsts, "a", "left_semi").select("b").distinct())
+        rejected = cut(rejected.union(losers))
+        # What an accepted row is linked to is decided, so its edges go as well.
+        live = cut(live.join(losers, "b", "left_anti").join(losers.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+    else:
+        raise RuntimeError(f"{n} edges are undecided after {most_rounds} rounds")
+    if n:
+        rejected = cut(rejected.union(live.repartition(1).sortWithinPartitions("b").mapInPandas(_rejected_in_order, "b bigint")))
+    lost = rejected.select(F.col("b").alias("a"))
+    by = edges.join(rejected, "b", "left_semi").join(lost, "a", "left_anti").groupBy("b").agg(F.min("a").alias("duplicate_of"))
+    return nodes.select(id_col).join(by.withColumnRenamed("b", id_col), id_col, "left").select(
+        id_col, F.col("duplicate_of").isNull().alias("accepted"), "duplicate_of"
     )
 
 

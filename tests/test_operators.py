@@ -73,6 +73,20 @@ def test_greedy_survivors_equal_the_sequential_rule(spark):
     assert {x["id"]: x["duplicate_of"] for x in got if not x["accepted"]} == of
 
 
+def test_greedy_survivors_of_large_groups_and_long_chains(spark):
+    clique = [(a, b) for b in range(150) for a in range(b)]
+    chain = [(i, i + 1) for i in range(1000, 1249)]
+    edges, nodes = spark.createDataFrame(clique + chain, "a bigint, b bigint"), spark.range(1300)
+    got = {x["id"]: x["duplicate_of"] for x in dedup.greedy_survivors(edges, nodes).collect() if not x["accepted"]}
+    assert got == dict.fromkeys(range(1, 150), 0) | {i: i - 1 for i in range(1001, 1250, 2)}
+    r = random.Random(5)
+    some = spark.createDataFrame(sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(150)} | {(a + 100, b + 100) for a, b in clique}), "a bigint, b bigint")
+    rounds, streamed = (sorted(dedup.greedy_survivors(some, spark.range(300), stream=s).collect()) for s in (0, 10**6))
+    assert rounds == streamed
+    with pytest.raises(RuntimeError):
+        dedup.greedy_survivors(spark.createDataFrame(chain, "a bigint, b bigint"), nodes, most_rounds=3, stream=0)
+
+
 def test_allocation_and_group_split(spark):
     assert splits.allocate(10, {"a": 0.9, "b": 0.05, "c": 0.05}) == {"a": 8, "b": 1, "c": 1}
     assert splits.allocate(7, {"a": 1, "b": 1, "c": 1}, False) == {"a": 3, "b": 2, "c": 2}
