@@ -185,8 +185,9 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
     Splitting can't part truly similar sets. At the levels in CROWDS the sets
     that are like the first one of their large bucket are compared with the
     whole bucket at once and leave it. With ``complete`` false they are only linked to the first
-    one: enough for groups (a set that is like a group's members but not like
-    their first one may be missed in that bucket), and linear in their number.
+    one, which is linear in their number but may lose links that groups need:
+    those to sets that are not like the first one, and all of a set whose link
+    to the first one turns out to be below the threshold. No query uses it.
 
     A pair of similarity t is missed by level 0 with probability (1-t)**RUNS
     (5e-8 at 0.7); each deeper level misses a pair of one bucket with (1-t)**FAN.
@@ -310,7 +311,7 @@ def chosen_path_pairs(
     """Near-duplicates of a table: (links between classes: a, b, similarity) and (members: id, rep).
 
     With ``complete`` false crowded buckets give links to one set of theirs
-    only, which is enough to group (see ``chosen_path_candidates``).
+    only, and groups may fall apart (see ``chosen_path_candidates``).
 
     Null and short texts (fewer than k words) are in no class; equal sets are
     one class, represented by its least id; repeated ids count once a row. An
