@@ -66,7 +66,7 @@ def says_tool(comments: list[str]) -> bool:
     """Whether a leading comment states that a tool wrote the file; a mention within a sentence is none."""
     for c in comments:
         body = re.sub(r"^[\s#/*!\"'rRuU-]*", "", c)
-        if any(_NOTICE.match(p.strip(" *#/!\"'\t")) for p in re.split(r"\n|(?<=[.!])\s+(?=[A-Z@])", body)[:12]):
+        if any(_NOTICE.match(p.strip(" *#/!\"'\t")) for p in re.split(r"\n|(?<=[.!])\s+(?=[A-Z@])", body)):
             return True
     return False
 

@@ -17,6 +17,14 @@ def test_notices():
         assert not origin.says_tool(origin.leading_comments(text)[0]), text
 
 
+def test_notice_at_the_end_of_a_long_leading_comment():
+    license = "".join(f" * Clause {i} of the license, in one line of its own.\n" for i in range(40))
+    doc = "".join(f"Part {i} of the module is told here.\n" for i in range(40))
+    for text in (f"/*\n{license} * Code generated by x. DO NOT EDIT.\n */\n", f'"""{doc}\nCode generated by x.\n"""\n'):
+        assert origin.says_tool(origin.leading_comments(text + "x = 1\n")[0]), text
+    assert not origin.says_tool(origin.leading_comments(f'"""{doc}"""\nx = 1\n')[0])
+
+
 def test_features_of_odd_texts():
     for t in ("", "\n", "é" * 100_000, "x" * 100_000, "\x00\x01"):
         assert len(origin.features(t)) == len(origin.FEATURES)
