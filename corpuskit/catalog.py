@@ -737,8 +737,14 @@ _BUILD = f"""c as ({SQL['clean_reasons']}), n as (select record_id, {_NORM_TEXT}
 
 @query("code_records", sql=f"with {_BUILD} select * from b")
 def corpus_build(r):
-    stages, _ = corpus.build(r, 1025)
-    return stages
+    """Without the near-duplicate step, as its SQL has it."""
+    return corpus.build(r, 1025, near=False)[0]
+
+
+@query("code_records")
+def corpus_build_near(r):
+    """The build with all its steps."""
+    return corpus.build(r, 1025)[0]
 
 
 @query("code_records")
@@ -746,8 +752,8 @@ def corpus_sequences(r):
     return corpus.build(r, 1025)[1]
 
 
-#: The flagship: reasons of the corpus build and their counts.
+#: The flagship: reasons of the corpus build and their counts, without the near-duplicate step as its SQL has it.
 @query("code_records", sql=f"with {_BUILD} select reason, count(*) as records, sum(n_tokens)::bigint as tokens from b group by 1")
 def build_report(r):
-    stages, _ = corpus.build(r, 1025)
+    stages, _ = corpus.build(r, 1025, near=False)
     return stages.groupBy("reason").agg(F.count(F.lit(1)).alias("records"), F.sum("n_tokens").alias("tokens"))

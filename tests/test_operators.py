@@ -165,3 +165,23 @@ def test_instruction_records(spark):
     assert one(spark, sft.problems(F.lit(" a"), F.lit(" ")), t="") == ["instruction_too_short", "output_too_short"]
     with pytest.raises(ValueError):
         sft.render("{nope}", {})
+
+
+def test_corpus_build_rejects_near_duplicates_in_order(spark):
+    from corpuskit.plans import corpus
+
+    words = [f"w{i}" for i in range(200)]
+    swap = lambda *at: " ".join(f"v{i}" if i in at else w for i, w in enumerate(words))
+    texts = {1: swap(), 2: swap(199), 3: swap(199).upper(), 4: swap(199), 5: swap(*range(195, 200)), 6: swap(0, 199), 7: swap(0, *range(185, 200)), 8: swap(), 9: "x = 1"}
+    df = spark.createDataFrame([(i, "a.txt", t) for i, t in texts.items()], "record_id bigint, path string, text string")
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() for w in [t.lower().split()] if i < 9}
+    want, kept = {}, []
+    for i, s in shingles.items():
+        near = [k for k in kept if len(s & shingles[k]) >= 0.92 * len(s | shingles[k])]
+        want[i] = ("exact_duplicate" if texts[i] == texts[near[0]] else "near_duplicate", near[0]) if near else ("accepted", None)
+        kept += [] if near else [i]
+    assert [want[i][0] for i in (1, 2, 3, 4, 7, 8)] == ["accepted", "near_duplicate", "near_duplicate", "near_duplicate", "accepted", "exact_duplicate"]
+    stages, spans = corpus.build(df, 64)
+    assert {x["record_id"]: (x["reason"], x["duplicate_of"]) for x in stages.collect()} == want | {9: ("too_short", None)}
+    assert {x["record_id"] for x in spans.collect()} == set(kept)
+    assert not corpus.staged(df, near=False).filter("reason = 'near_duplicate'").count()
