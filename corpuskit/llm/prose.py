@@ -244,6 +244,11 @@ def _totals(table: DataFrame, row) -> np.ndarray:
     return out
 
 
+def with_floor(cov: np.ndarray) -> np.ndarray:
+    """The covariance with each variance raised to FLOOR squared where it is less; larger ones stay as they are."""
+    return cov + np.diag(np.maximum(FLOOR**2 - np.diag(cov), 0.0))
+
+
 _BINS = 400
 _TOP = np.array([16.0, *[1.0] * (P - 1)])
 
@@ -306,7 +311,7 @@ def fit(table: DataFrame) -> Model:
                 continue
             mean = m[k, 1 : 1 + P] / c
             cov = m[k, 1 + P :].reshape(P, P) / c - np.outer(mean, mean)
-            centre[k], spread[k] = mean, cov * 1.08 + np.diag(FLOOR**2)
+            centre[k], spread[k] = mean, with_floor(cov * 1.08)
     return Model(centre, spread)
 
 

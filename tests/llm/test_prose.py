@@ -38,6 +38,10 @@ def documents():
     bad[507] = " | ".join(r.choice(["Home", "Menu", "Next", "Login", "Search"]) for _ in range(120))
     bad[508] = text(r, 2) + "\n\n" + "\n".join(f"{k}. {r.choice(NOUNS)} {r.choice(NOUNS)}" for k in range(60))
     bad[509] = "".join(r.choice("€§©±Ã¤â�?") if r.random() < 0.5 else c for c in text(r, 8))
+    bad[510] = "\n".join(", ".join(r.choice(NOUNS) for _ in range(9)) for _ in range(12))
+    bad[511] = "\n".join(f"{r.choice(NOUNS)}({r.choice(NOUNS)}, {r.choice(NOUNS)}, {k})" for k in range(30))
+    bad[512] = "\n".join(f'  File "{r.choice(NOUNS)}/{r.choice(NOUNS)}.py", line {k}, in {r.choice(NOUNS)}\n    {r.choice(NOUNS)}.{r.choice(NOUNS)}()' for k in range(20))
+    bad[513] = " ".join(r.choice(NOUNS).title() for _ in range(60)) + "\n\n" + " ".join(r.choice(NOUNS) for _ in range(90))
     return good, bad
 
 
@@ -55,6 +59,20 @@ def test_prose_is_told_from_the_rest(spark):
     assert prose.prose_statistics(df.limit(0)).count() == 0
 
 
+def test_the_floor_bounds_the_spread_from_below():
+    """Where prose varies more than the floor, the fitted variance stays what the trimmed moments say."""
+    from corpuskit.llm.prose import FLOOR, P
+
+    r = np.random.default_rng(3)
+    cov = np.diag((2 * FLOOR) ** 2)
+    cov[0, 0] = (FLOOR[0] / 10) ** 2
+    got = prose.with_floor(cov)
+    assert np.isclose(got[0, 0], FLOOR[0] ** 2)
+    assert np.allclose(got[1:, 1:], cov[1:, 1:])
+    x = r.normal(size=(500, P)) * FLOOR
+    assert (np.linalg.eigvalsh(prose.with_floor(np.cov(x.T))) > 0).all()
+
+
 def test_statistics_of_a_text():
     whole, rows = prose.describe("Is it on? Yes, 12 + 3.\nNo")
     assert whole[0] == 5 and len(rows) == 1
