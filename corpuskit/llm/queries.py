@@ -48,6 +48,10 @@ def p3_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.by_directory(_records(spark, sf_dir))
 
 
+def p3_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.by_repository(_records(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.with_faults(_records(spark, sf_dir), ["record_id"]).filter("fault is not null").select("record_id")
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_verdicts": p3_verdicts,
     "p3_directories": p3_directories,
+    "p3_repositories": p3_repositories,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p8_found": p8_found,
