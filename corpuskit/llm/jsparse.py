@@ -8,6 +8,7 @@ automatic semicolons included) and lists the functions it meets.
 from __future__ import annotations
 
 import re
+import sys
 from typing import NamedTuple
 
 RESERVED = frozenset(
@@ -874,15 +875,28 @@ class _Parser:
         self.i += 1
 
 
+#: Frames of the interpreter that a text may take; some 100 bytes each. Engines give up at far less nesting.
+MOST_FRAMES = 5_000_000
+
+
 def parse(text: str) -> tuple[Tokens, list[Function]]:
     """Tokens and functions of a valid text; SyntaxFault otherwise.
 
-    Nesting beyond what the interpreter's stack holds is judged by the lexer alone.
+    Nesting takes frames on the heap, of which a text may have MOST_FRAMES, that
+    is about 600,000 levels; a text nested deeper than that is refused.
     """
     tokens = lex(text)
-    parser = _Parser(tokens)
+    usual = sys.getrecursionlimit()
     try:
-        parser.program()
+        parser = _Parser(tokens)
+        try:
+            parser.program()
+        except RecursionError:
+            sys.setrecursionlimit(min(MOST_FRAMES, usual + 12 * len(tokens.kinds)))
+            parser = _Parser(tokens)
+            parser.program()
     except RecursionError:
-        pass
+        raise SyntaxFault("nesting", len(text)) from None
+    finally:
+        sys.setrecursionlimit(usual)
     return tokens, parser.functions

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import json
-import re
 import tomllib
 import warnings
 from collections.abc import Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.llm.jsparse import SyntaxFault, parse
+from corpuskit.llm.lexers import json_grammar, lexical_fault
 
 LANGUAGES = ("python", "javascript", "json", "toml")
 _EXTENSIONS = {".py": "python", ".js": "javascript", ".mjs": "javascript", ".json": "json", ".toml": "toml"}
@@ -40,58 +40,23 @@ def language_column(path: Column, text: Column) -> Column:
     ).otherwise(F.try_element_at(known, by_ext))
 
 
-# One pattern a language: literals and comments as wholes, then brackets, markers and stray quotes.
-_MARK = r"^(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|\Z)"
-_PY = re.compile(
-    r'''(?P<lit>"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'\'\'(?:[^'\\]|\\[\s\S]|'(?!''))*\'\'\'|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|\#[^\n\r]*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<quote>["'])|(?P<mark>'''
-    + _MARK
-    + ")",
-    re.M,
-)
-_JSON = re.compile(r'(?P<lit>"(?:[^"\\\x00-\x1f]|\\.)*")|(?P<open>[\[{])|(?P<close>[\]}])|(?P<quote>["\'])|(?P<mark>' + _MARK + ")", re.M)
-_LEXERS = {"python": _PY, "toml": _PY, "json": _JSON}
-_PAIRS = {")": "(", "]": "[", "}": "{"}
-
-
-def lexical_fault(text: str, lang: str) -> str | None:
-    """What the lexer and its stack of open delimiters find wrong, if anything."""
-    stack: list[str] = []
-    end = 0
-    for m in _LEXERS[lang].finditer(text):
-        kind = m.lastgroup
-        if kind == "open":
-            stack.append(m[0])
-        elif kind == "close":
-            if not stack or stack.pop() != _PAIRS[m[0]]:
-                return "unbalanced delimiter"
-        elif kind == "quote":
-            return "unterminated literal"
-        elif kind == "mark":
-            return "merge conflict"
-        end = m.end()
-    if stack:
-        return "premature end"
-    if lang == "python" and text[end:].rstrip().endswith(":"):
-        return "premature end"
-    return None
-
-
 def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
 def _parser_refuses(text: str, lang: str) -> bool:
-    """The language's own parser as the exact check."""
+    """The language's own parser, asked about texts that the lexer and its stack have passed."""
     try:
         if lang == "python":
-            compile(text.removeprefix("﻿"), "record", "exec", 0, True)
+            compile(text.removeprefix("\ufeff"), "record", "exec", 0, True)
         elif lang == "json":
             json.loads(text, parse_constant=_no_constant)
         else:
-            tomllib.loads(text.removeprefix("﻿"))
-    except RecursionError:
-        return False  # deeper than this process can follow; the stack of the lexer had no objection or it said so
-    except (SyntaxError, ValueError, MemoryError, OverflowError):
+            tomllib.loads(text.removeprefix("\ufeff"))
+    except (RecursionError, MemoryError):
+        # Deeper than the parser can follow: JSON is told by a pushdown automaton, the others by their lexer, which has passed them.
+        return lang == "json" and not json_grammar(text)
+    except (SyntaxError, ValueError, OverflowError):
         return True
     return False
 
@@ -99,10 +64,12 @@ def _parser_refuses(text: str, lang: str) -> bool:
 def fault(text: str | None, lang: str | None) -> str | None:
     """Why a text is not valid in its language; null if it is, or if there is no text or language.
 
-    Python, JSON and TOML: the lexer names the fault and the language's parser
-    confirms it (newer string forms can fool a lexer); what only the grammar
-    shows is "grammar". JavaScript: lexer, stack and grammar check are ours.
-    Empty texts are valid, but for JSON, which needs a value.
+    The lexer of the language with its stack of open delimiters comes first and
+    settles literals, delimiters, premature ends and merge markers; texts that
+    pass are put to the grammar: that of Python 3.13, JSON and TOML by their
+    parsers ("grammar"), JavaScript's by our own ("unexpected token" and the
+    like). Depth is no limit. Empty texts are valid, but for JSON, which needs
+    a value.
     """
     if text is None or lang not in LANGUAGES:
         return None
@@ -112,9 +79,7 @@ def fault(text: str | None, lang: str | None) -> str | None:
         except SyntaxFault as e:
             return e.reason
         return None
-    if not _parser_refuses(text, lang):
-        return None
-    return lexical_fault(text, lang) or "grammar"
+    return lexical_fault(text, lang) or ("grammar" if _parser_refuses(text, lang) else None)
 
 
 def with_faults(df: DataFrame, keep: list[str], path: str = "path", text: str = "text") -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from corpuskit.llm import syntax
+from corpuskit.llm import lexers, syntax
 from corpuskit.llm.jsparse import SyntaxFault, parse
 
 VALID_JS = [
@@ -56,6 +56,18 @@ def test_broken_javascript(text):
         ("a = \n", "toml", "grammar"),
         ('a = "x\n', "toml", "unterminated literal"),
         ("function f() {", "javascript", "premature end"),
+        ("a = 'c:\\'\nb = \"\"\"x\"\"\"\"\"\n", "toml", None),
+        ("a = 'x\n", "toml", "unterminated literal"),
+        ("a = [1, 2\nb = 3\n", "toml", "premature end"),
+        ("=======\na = 1\n", "toml", "merge conflict"),
+        ("x = f'{a!r:>{width:d}} {{}} {f\"{b}\"} {c[\"d\"]:%H:%M}'\n", "python", None),
+        ("x = rf'\\{a}' f\"\"\"{\n b # }\n}\"\"\"\n", "python", None),
+        ("x = f'{a'\n", "python", "unterminated literal"),
+        ("x = f'{(a}'\n", "python", "unbalanced delimiter"),
+        ("x = f" + "'" * 3 + "{a\n", "python", "premature end"),
+        ("x = 'a' # it's (\n", "python", None),
+        ("if x: # y:\n", "python", "premature end"),
+        ("x = [1,\n=======\n2]\n", "python", "merge conflict"),
         (None, "python", None),
         ("x", None, None),
     ],
@@ -84,3 +96,49 @@ def test_table(spark):
     assert syntax.with_faults(df.limit(0), ["record_id"]).count() == 0
     deep = spark.createDataFrame([(1, "r", "a.json", "[" * 50_000 + "]" * 50_000, ""), (2, "r", "a.js", "(" * 5_000 + "1" + ")" * 5_000, "")], df.schema)
     assert [r["fault"] for r in syntax.with_faults(deep, ["record_id"]).collect()] == [None, None]
+
+
+def test_depth_is_no_limit():
+    deep = "[" * 200_000 + "]" * 200_000
+    assert syntax.fault(deep, "json") is None
+    assert syntax.fault(deep[:-1], "json") == "premature end"
+    assert syntax.fault("[" * 200_000 + "1 2" + "]" * 200_000, "json") == "grammar"
+    assert syntax.fault('{"a":' * 50_000 + "01" + "}" * 50_000, "json") == "grammar"
+    assert syntax.fault("a = " + "[" * 5_000 + "]" * 5_000, "toml") is None
+    assert syntax.fault("a = " + "[" * 5_000 + "]" * 4_999, "toml") == "premature end"
+    assert syntax.fault("(" * 40_000 + "1" + ")" * 40_000, "javascript") is None
+    assert syntax.fault("(" * 40_000 + "1 2" + ")" * 40_000, "javascript") == "unexpected token"
+    chain = "if(a){b()}" + "else if(a){b()}" * 20_000
+    assert syntax.fault(chain, "javascript") is None and syntax.fault(chain + "else", "javascript") == "premature end"
+    assert len(parse("(" * 9_000 + "function f(a){}" + ")" * 9_000 + ";function g(){}")[1]) == 2
+
+
+def test_lexer_never_refuses_what_python_accepts():
+    """Over valid texts and random edits of them: a fault of the lexer is always one of the parser."""
+    import inspect
+    import random
+    import textwrap
+    import tokenize
+
+    r = random.Random(4)
+    for module in (inspect, textwrap, tokenize, random):
+        text = inspect.getsource(module)
+        assert lexers.lexical_fault(text, "python") is None
+        for _ in range(60):
+            at = r.randrange(len(text))
+            edited = text[:at] + r.choice(["", '"', "'", "{", "}", "(", ")", "\\", 'f"', "#", ":", '"""']) + text[at + r.randrange(3) :]
+            if lexers.lexical_fault(edited, "python"):
+                with pytest.raises((SyntaxError, ValueError)):
+                    compile(edited, "edited", "exec", 0, True)
+
+
+@pytest.mark.parametrize("text", ["[]", "{}", "1", '"a"', '{"a":[1,{"b":null}]}', " [ 1 , 2 ] ", "[1,]", "{,}", '{"a"}', "[1 2]", "01", "-", "nul", '"\\x"', "[]]", "", '{"a":1,}', "1e5", '{"a":1 "b":2}'])
+def test_json_automaton_agrees_with_the_parser(text):
+    import json
+
+    try:
+        json.loads(text)
+        valid = True
+    except ValueError:
+        valid = False
+    assert lexers.json_grammar(text) == valid
