@@ -6,6 +6,7 @@ import ast
 import gc
 import re
 import warnings
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,17 +15,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.llm.jsparse import SyntaxFault, parse
+from corpuskit.llm.lexers import scan_python
 from corpuskit.llm.syntax import language_column
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
 _TAGS = re.compile(r"(?:@param(?:\s+\{[^}]*\})?\s+\[?|:param\s+(?:\w+\s+)?)(\w+)")
+_IDENTIFIER = re.compile(r"[^\W\d]\w*(?=\()|\w*[^\W_]_\w+|[a-z]+[A-Z]\w*")  # names that can't be taken for plain words
 _LINE = re.compile(r"\r\n|\n|\r")
-#: Openings of placeholders, and words that say nothing about a function.
+#: Openings of placeholders (in any letter case), and words that say nothing about a function.
 PLACEHOLDERS = ("TODO", "FIXME", "TBD", "XXX")
 EMPTY_WORDS = frozenset("the a an of and to for this function method that it".split())
+_PLACEHOLDER = re.compile(rf"(?i)(?:{'|'.join(PLACEHOLDERS)})(?![a-z])")
 #: Lines between a comment and a function beyond which they are no candidates.
-REACH = 2
+REACH = 3
+#: Weights of a link: by the lines between, for parameter tags that fit and that don't, for words of the name and for the name itself.
+NEAR, TAGS, STRANGE_TAGS, NAME_WORDS, NAME = (4.0, 1.2, 0.8, 0.5), 4.0, 3.0, 1.0, 2.0
+#: Links below this weight are implausible.
+LEAST = 2.5
 
 
 class Function(NamedTuple):
@@ -45,7 +53,7 @@ def trivial(description: str, name: str) -> bool:
     """Fewer than four words, a placeholder, or only the function's own name and empty words."""
     text = description.strip()
     words = _WORDS.findall(text)
-    if len(words) < 4 or text.startswith(PLACEHOLDERS):
+    if len(words) < 4 or _PLACEHOLDER.match(text):
         return True
     own = {w.lower() for w in _NAME_WORDS.findall(name)} | {name.lower()} | EMPTY_WORDS
     return all(w.lower() in own for w in words)
@@ -54,6 +62,77 @@ def trivial(description: str, name: str) -> bool:
 _RISKY = re.compile(r"\b(?:nonlocal|global|__debug__|__future__)\b|\bimport[ \t]*\*|\byield\b|\bawait\b")
 
 
+_DEFINES = re.compile(r"(?:async\s+)?(def|class)\s+([^\W\d]\w*)")
+
+
+def _python_by_lines(text: str) -> list[Function]:
+    """Functions of a text whose trees are too deep to be built, by its logical lines; SyntaxError where the lexer finds a fault."""
+    fault, spans = scan_python(text)
+    if fault:
+        raise SyntaxError(fault)
+    code = list(text)
+    for a, b in spans:
+        comment = text[a] == "#"
+        for at in range(a, b):
+            code[at] = " " if comment else "s"
+    code, logical, depth, first, at = "".join(code), [], 0, 0, 0
+    for m in re.finditer(r"[(\[{]|[)\]}]|(?<!\\)(?:\r\n|\n|\r)|\Z", code):
+        if m[0] and m[0] in "([{":
+            depth += 1
+        elif m[0] and m[0] in ")]}":
+            depth -= 1
+        elif not depth or not m[0]:
+            if code[at : m.start()].strip():
+                logical.append((at, m.start()))
+            at = m.end()
+    starts = [0, *(m.end() for m in _LINE.finditer(text))]
+    found: list[Function] = []
+    scopes: list[tuple[int, str, int | None]] = []  # indentation, name, place among the functions
+    decorated = None
+    for k, (a, b) in enumerate(logical):
+        line = code[a:b]
+        bare = line.lstrip(" \t\f\\\r\n")
+        indent = len(line.expandtabs(8)) - len(bare.expandtabs(8))
+        first, last = bisect_right(starts, a + len(line) - len(bare)) - 1, bisect_right(starts, b) - 1
+        while scopes and scopes[-1][0] >= indent:
+            scopes.pop()
+        for _, _, place in scopes:
+            if place is not None:
+                found[place] = found[place]._replace(last=last)
+        m = _DEFINES.match(bare)
+        if not m:
+            decorated = (first if decorated is None else decorated) if bare.startswith("@") else None
+            continue
+        name, place = m[2], None
+        if m[1] == "def":
+            head = text[a + len(line) - len(bare) : b]
+            colon = max(_header_end(code[a + len(line) - len(bare) : b]), 0)
+            rest = head[colon + 1 :].strip()
+            arguments = ast.parse(f"{head[: colon + 1]} pass").body[0].args
+            params = tuple(x.arg for x in (*arguments.posonlyargs, *arguments.args, *arguments.kwonlyargs, arguments.vararg, arguments.kwarg) if x)
+            doc = rest if rest and not rest.startswith("#") else text[slice(*logical[k + 1])].strip() if k + 1 < len(logical) else ""
+            try:
+                value = ast.literal_eval(doc) if doc[:1] in "\"'rRuU" else None
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                value = None
+            place = len(found)
+            symbol = ".".join([*(n for _, n, _ in scopes), name])
+            found.append(Function(symbol, name, first if decorated is None else decorated, last, params, value if isinstance(value, str) else None))
+        scopes.append((indent, name, place))
+        decorated = None
+    return sorted(found, key=lambda f: (f.first, f.symbol))
+
+
+def _header_end(head: str) -> int:
+    """Place of the colon that ends the header of a definition, strings and comments being masked."""
+    depth = 0
+    for at, c in enumerate(head):
+        depth += (c in "([{") - (c in ")]}")
+        if c == ":" and not depth:
+            return at
+    return -1
+
+
 def _python(text: str) -> tuple[list[Function], list[str]]:
     """Functions and lines; SyntaxError also for what only the compiler refuses.
 
@@ -61,7 +140,10 @@ def _python(text: str) -> tuple[list[Function], list[str]]:
     (return outside a function, break outside a loop, repeated parameters, ...).
     """
     text = text.removeprefix("﻿")
-    tree = ast.parse(text)
+    try:
+        tree = ast.parse(text)
+    except (RecursionError, MemoryError):
+        return _python_by_lines(text), _LINE.split(text.replace("\f", " "))
     found: list[Function] = []
     risky = False
     words = _RISKY.findall(text)
@@ -91,7 +173,10 @@ def _python(text: str) -> tuple[list[Function], list[str]]:
                 elif outside and not within:
                     risky |= any(isinstance(x, (ast.Yield, ast.YieldFrom, ast.Await)) for x in ast.walk(child))
     if risky or any(w not in ("yield",) for w in words):
-        compile(text, "record", "exec", 0, True)
+        try:
+            compile(text, "record", "exec", 0, True)
+        except (RecursionError, MemoryError):
+            pass  # too deep for the compiler, not against its rules
     return sorted(found, key=lambda f: (f.first, f.symbol)), _LINE.split(text.replace("\f", " "))
 
 
@@ -140,80 +225,93 @@ def _javascript(text: str) -> tuple[list[Function], list[str], list[Comment]]:
     return sorted(found, key=lambda f: f.first), lines, comments
 
 
-def _weight(f: Function, c: Comment) -> float:
-    """Plausibility of a link: nearness first, then parameter tags, then words of the name."""
+def _weight(f: Function, c: Comment, names: set[str]) -> float:
+    """Plausibility of a link by nearness, parameter tags and names; ``names`` are those of all functions of the file.
+
+    A comment right above a function stays plausible even with strange tags; one
+    farther off needs tags or names of the function to be taken at all.
+    """
     gap = f.first - c.end - 1
+    score = NEAR[gap]
     tags = set(_TAGS.findall(c.text))
-    own = {w.lower() for w in _NAME_WORDS.findall(f.name)}
-    said = {w.lower() for w in _WORDS.findall(c.text)}
-    score = 4.0 * (gap == 0) + 2.0 / (1 + gap)
     if tags:
-        score += 2.0 * len(tags & set(f.params)) / len(tags) - 1.0 * (not tags & set(f.params))
-    return score + (len(own & said) / len(own) if own else 0.0)
-
-
-def assign(functions: list[Function], comments: list[Comment]) -> dict[int, int]:
-    """Best bipartite assignment of comments to functions: index of function to index of comment.
-
-    Candidates stand at most REACH lines apart, so the graph falls into small
-    components; augmenting paths of best gain solve each of them exactly.
+        fit = len(tags & set(f.params)) / len(tags)
+        score += TAGS * fit if fit else -min(STRANGE_TAGS, score - LEAST if gap == 0 else STRANGE_TAGS)
+    own = {w.lower() for w in _NAME_WORDS.findall(f.name)}
+    said = set(_WORDS.findall(c.text.lower()))
+    score += NAME_WORDS * len(own & said) / len(own) if own else 0.0
+    said_names = names & set(_IDENTIFIER.findall(c.text))
+    if f.name in said_names:
+        score += NAME
+    elif said_names and gap:
+        score -= NAME  # it speaks of another function
+    return score
+
+
+def assign(functions: list[Function], comments: list[Comment], reach: int = REACH) -> dict[int, int]:
+    """Heaviest bipartite assignment of comments to functions: index of function to index of comment.
+
+    Candidates stand at most ``reach`` lines apart; links under LEAST are left
+    out. Functions enter one by one, each along the best alternating path, which
+    is found by label correction as the matching so far is the heaviest one.
     """
     by_end: dict[int, list[int]] = {}
     for j, c in enumerate(comments):
         by_end.setdefault(c.end, []).append(j)
-    edges = {
-        i: {j: _weight(f, comments[j]) for gap in range(REACH + 1) for j in by_end.get(f.first - 1 - gap, ())}
-        for i, f in enumerate(functions)
-    }
-    taken: dict[int, int] = {}
-    held: dict[int, int] = {}
-
-    def gain(i: int, seen: frozenset[int]) -> tuple[float, list[tuple[int, int]]]:
-        best: tuple[float, list[tuple[int, int]]] = (0.0, [])
-        for j, w in edges[i].items():
-            if j in seen:
+    names = {f.name for f in functions}
+    edges: list[dict[int, float]] = []
+    for f in functions:
+        near = (j for gap in range(reach + 1) for j in by_end.get(f.first - 1 - gap, ()))
+        edges.append({j: w for j in near if (w := _weight(f, comments[j], names)) >= LEAST})
+    owner: dict[int, int] = {}
+    held: dict[int, int] = {}  # the other way round
+    for i, own in enumerate(edges):
+        gain = dict(own)  # comment: best gain of a path that ends by taking it
+        before = {j: i for j in own}  # comment: the function that takes it on that path
+        queue = list(own)
+        for j in queue:  # grows while better paths are found
+            k = owner.get(j)
+            if k is None:
                 continue
-            more, path = w, [(i, j)]
-            if j in taken:
-                other = taken[j]
-                g, rest = gain(other, seen | {j})
-                more, path = w - edges[other][j] + g, [(i, j), *rest]
-                if not rest:
-                    path = [(other, -1), (i, j)]
-            if more > best[0]:
-                best = more, path
-        return best
-
-    for i in sorted(edges, key=lambda i: -max(edges[i].values(), default=0)):
-        for a, j in reversed(gain(i, frozenset())[1]):
-            if a in held and taken.get(held[a]) == a:
-                del taken[held[a]]
-            held.pop(a, None)
-            if j >= 0:
-                taken[j], held[a] = a, j
+            base = gain[j] - edges[k][j]
+            for j2, w in edges[k].items():
+                if j2 != j and base + w > gain.get(j2, 0.0) + 1e-9:
+                    gain[j2], before[j2] = base + w, k
+                    queue.append(j2)
+        best, end = 0.0, None
+        for j, g in gain.items():
+            k = owner.get(j)
+            total = g if k is None else g - edges[k][j]  # the present owner may go without
+            if total > best + 1e-9:
+                best, end = total, j
+        if end is not None:
+            held.pop(owner.get(end), None)
+        while end is not None:
+            k = before[end]
+            owner[end], held[k], end = k, end, held.get(k)
     return held
 
 
-def pairs(text: str, lang: str) -> list[tuple[str, str, str, str, int, int]]:
+def pairs(text: str, lang: str, reach: int = REACH) -> list[tuple[str, str, str, str, int, int]]:
     """(symbol, description, origin, code, first line, last line) of the documented functions; none if the text is not valid."""
     try:
         if lang == "python":
             functions, lines = _python(text)
-            ends = {f.first - 1 - gap for f in functions if f.docstring is None for gap in range(REACH + 1)}
+            ends = {f.first - 1 - gap for f in functions if f.docstring is None for gap in range(reach + 1)}
             comments = _python_comments(lines, ends)
         else:
             functions, lines, comments = _javascript(text)
-    except (SyntaxError, SyntaxFault, ValueError, RecursionError, MemoryError):
+    except (SyntaxError, SyntaxFault, ValueError):
         return []
     bare = [f for f in functions if f.docstring is None]
-    links = assign(bare, comments) if comments else {}
+    links = assign(bare, comments, reach) if comments else {}
     linked = {id(bare[i]): comments[j] for i, j in links.items()}
     out = []
     for f in functions:
         doc, origin = f.docstring, "docstring"
         if doc is None:
             c = linked.get(id(f))
-            if c is None or c.end != f.first - 1:  # implausible: something stands between
+            if c is None:
                 continue
             doc, origin = c.text, "comment"
         if not trivial(doc, f.name):
@@ -224,9 +322,13 @@ def pairs(text: str, lang: str) -> list[tuple[str, str, str, str, int, int]]:
 _OUT = "symbol string, description string, origin string, code string, first_line int, last_line int"
 
 
-def documented(df: DataFrame, keep: list[str], path: str = "path", text: str = "text") -> DataFrame:
+def documented(df: DataFrame, keep: list[str], path: str = "path", text: str = "text", reach: int = REACH) -> DataFrame:
     """``keep`` columns and one row per documented function of a valid Python or JavaScript record.
 
+    Documentation is the docstring or else the comment that the assignment gives
+    to the function; comments end at most ``reach`` lines above it (0: on the
+    line directly above).
+
     Null texts and paths, other languages and texts that don't parse give no
     rows; repeated records give repeated rows. Texts are read whole.
     """
@@ -236,7 +338,7 @@ def documented(df: DataFrame, keep: list[str], path: str = "path", text: str = "
         for b in batches:
             gc.disable()
             try:
-                found = [pairs(t, lang) for t, lang in zip(b["_text"], b["_language"])]
+                found = [pairs(t, lang, reach) for t, lang in zip(b["_text"], b["_language"])]
             finally:
                 gc.enable()
             at = [k for k, f in enumerate(found) for _ in f]

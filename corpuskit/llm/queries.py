@@ -21,7 +21,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docpairs.documented(_records(spark, sf_dir), ["record_id"]).select("record_id", "symbol")
+    """Links of a comment to the function directly below it only, as the case is defined."""
+    return docpairs.documented(_records(spark, sf_dir), ["record_id"], reach=0).select("record_id", "symbol")
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

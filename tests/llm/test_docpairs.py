@@ -84,13 +84,78 @@ def test_trivial():
     assert docpairs.trivial("one two three", "f") and docpairs.trivial("TODO write it all down", "f")
     assert not docpairs.trivial("Sort the items by age.", "sortItems")
     assert docpairs.trivial(" ... 12 34 56 ", "f")
+    assert docpairs.trivial("todo: describe what this does", "f") and not docpairs.trivial("Todos are read one by one.", "f")
+
+
+def _greedy(functions, comments):
+    names, edges, taken, got = {f.name for f in functions}, [], set(), {}
+    for i, f in enumerate(functions):
+        for j, c in enumerate(comments):
+            if 0 <= f.first - 1 - c.end <= docpairs.REACH and (w := docpairs._weight(f, c, names)) >= docpairs.LEAST:
+                edges.append((-w, i, j))
+    for _, i, j in sorted(edges):
+        if i not in got and j not in taken:
+            got[i] = j
+            taken.add(j)
+    return got
+
+
+def _weight_of(got, functions, comments):
+    names = {f.name for f in functions}
+    return sum(docpairs._weight(functions[i], comments[j], names) for i, j in got.items())
+
+
+def test_tags_win_over_nearness():
+    js = "// Scales what it gets.\n// @param factor  how much\nconst one = () => 1;\nconst scale = (factor) => factor * 2;\n"
+    assert [p[0] for p in docpairs.pairs(js, "javascript")] == ["scale"]
+    assert [p[0] for p in docpairs.pairs(js, "javascript", 0)] == ["one"]
+    apart = "# The old notes of all this stand here.\n\n\ndef first(x):\n    pass\n"
+    assert docpairs.pairs(apart, "python") == []  # implausible: far off, and nothing tells of the function
+    assert [p[0] for p in docpairs.pairs(apart.replace("all this", "first()"), "python")] == ["first"]
+
+
+def test_assignment_is_not_greedy():
+    """The best single link would leave the other function without its only candidate."""
+    fs = [docpairs.Function("load_rows", "load_rows", 4, 4, ("path",), None), docpairs.Function("keep", "keep", 6, 7, ("path",), None)]
+    cs = [docpairs.Comment("Does load_rows. :param path: where", 2), docpairs.Comment("Serves load_rows and keep(). :param path: where from", 3)]
+    got = docpairs.assign(fs, cs)
+    assert got == {0: 0, 1: 1} and _greedy(fs, cs) == {0: 1, 1: 0}
+    assert _weight_of(got, fs, cs) > _weight_of(_greedy(fs, cs), fs, cs)
+    assert docpairs.assign([], cs) == {} and docpairs.assign(fs, []) == {}
 
 
-def test_assignment_prefers_the_nearest_and_keeps_one_each():
-    fs = [docpairs.Function("a", "a", 3, 3, (), None), docpairs.Function("b", "b", 4, 5, ("x",), None)]
-    cs = [docpairs.Comment("Does things.", 1), docpairs.Comment("Uses it. @param x", 2)]
-    assert docpairs.assign(fs, cs) == {0: 1} or docpairs.assign(fs, cs)[0] == 1
-    assert docpairs.assign([], cs) == {} and docpairs.assign(fs, []) == {}
+def test_assignment_is_the_heaviest():
+    """Against all assignments of small random files, and in bounded time on a dense large one."""
+    import itertools
+    import random
+    import time
+
+    r = random.Random(8)
+    words = ["load", "keep", "scan", "sort"]
+    for _ in range(150):
+        fs = [docpairs.Function(w, w, first, first, (r.choice("ab"),), None) for first, w in ((r.randrange(9), r.choice(words)) for _ in range(4))]
+        cs = [docpairs.Comment(f"{r.choice(words)} {r.choice(words)} @param {r.choice('abc')}" if r.random() < 0.7 else "tells of it", r.randrange(9)) for _ in range(4)]
+        got = docpairs.assign(fs, cs)
+        best = 0.0
+        names = {f.name for f in fs}
+        ok = {(i, j): docpairs._weight(f, c, names) for i, f in enumerate(fs) for j, c in enumerate(cs) if 0 <= f.first - 1 - c.end <= docpairs.REACH and docpairs._weight(f, c, names) >= docpairs.LEAST}
+        for to in itertools.product([None, 0, 1, 2, 3], repeat=4):
+            used = [j for j in to if j is not None]
+            links = [(i, j) for i, j in enumerate(to) if j is not None]
+            if len(used) == len(set(used)) and all(x in ok for x in links):
+                best = max(best, sum(ok[x] for x in links))
+        assert abs(_weight_of(got, fs, cs) - best) < 1e-6
+    n = 3_000
+    fs = [docpairs.Function(f"f{i}", f"f{i}", i, i, ("a",), None) for i in range(1, n)]
+    cs = [docpairs.Comment("tells @param a", i) for i in range(n)]
+    began = time.time()
+    assert len(docpairs.assign(fs, cs)) == n - 1 and time.time() - began < 20
+
+
+def test_too_deep_for_a_tree():
+    body = PY + "\n\nDEEP = " + "-" * 100_000 + "1\n"
+    got, want = docpairs.pairs(body, "python"), docpairs.pairs(PY, "python")
+    assert [p[:5] for p in got] == [p[:5] for p in want] and got
 
 
 def test_invalid_texts_give_nothing():
