@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm.licenses import repository_key
 from corpuskit.llm.syntax import language_column
-from corpuskit.operators import setsim
+from corpuskit.operators import setsim as crosssplit
 from corpuskit.runtime import cut, sized
 
 #: Directories that hold third-party or installed code, and those that only tool output has.
@@ -32,9 +32,13 @@ OUTPUT_NAMES = r"(_pb2?|_pb2_grpc|_grpc_pb)\.(py|js|mjs)$|(\.(min|bundle|generat
 COPY_K, COPY_SIMILARITY = 3, 0.7
 #: At most about so many labelled rows fit the forest.
 FIT_ROWS = 20_000
-TREES, TREE_DEPTH, SEED = 24, 7, 11
-#: A file whose probability reaches this is looked at closely.
-SUSPECT = 0.15
+TREES, TREE_DEPTH, SEED = 32, 8, 11
+#: Classes of the forest, by header notices that its features don't see.
+HAND, TOOL, BUNDLE = 0, 1, 2
+#: Probability of the class BUNDLE from which a file counts as minified; chosen on held-out labels (see ``held_out``).
+MINIFIED = 0.25
+#: Share of literals, docstrings apart, from which a file is data.
+DATA = 0.87
 
 _NOTICE = re.compile(
     r"""(?ix)
@@ -77,14 +81,28 @@ FEATURES = (
 )
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*")
 _COMMENT = re.compile(r"(?m)^[ \t]*(?:#|//|\*|/\*)[^\n]*")
+_TRIPLE = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''")
 _LITERAL = re.compile(
     r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\[\s\S])*`|(?<![\w$])-?\d[\d._eExXa-fA-F+]*'
 )
-_NEUTRAL = re.compile(r"[\s,\[\](){}:;=\"'`+-]+")
+_NEUTRAL = str.maketrans("", "", " \t\n\r\f\v,[](){}:;=\"'`+-")
+
+
+def _without_docstrings(body: str) -> str:
+    """The text without the triple-quoted strings that stand alone on their lines."""
+    out, at = [], 0
+    for m in _TRIPLE.finditer(body):
+        if not body[body.rfind("\n", 0, m.start()) + 1 : m.start()].strip(" \trRuU"):
+            out.append(body[at : m.start()])
+            at = m.end()
+    return "".join([*out, body[at:]]) if out else body
 
 
 def features(body: str) -> list[float]:
-    """The statistics of a text without its leading comments; zeros for an empty one."""
+    """The statistics of a text without its leading comments; zeros for an empty one.
+
+    ``literal_share`` leaves out docstrings, separators and brackets.
+    """
     n = len(body)
     if not n:
         return [0.0] * len(FEATURES)
@@ -93,8 +111,9 @@ def features(body: str) -> list[float]:
     counts = Counter(names)
     total = len(names) or 1
     lines = body.split("\n")
-    literal = sum(map(len, _LITERAL.findall(body)))
-    rest = len(_NEUTRAL.sub("", _LITERAL.sub("", body)))
+    code = _without_docstrings(body)
+    bare = _LITERAL.sub("", code)
+    literal = len(code) - len(bare)
     return [
         len(zlib.compress(raw, 1)) / len(raw),
         -sum(c / total * math.log2(c / total) for c in counts.values()),
@@ -104,24 +123,19 @@ def features(body: str) -> list[float]:
         n / len(lines),
         math.log1p(max(map(len, lines))),
         (body.count(" ") + body.count("\n") + body.count("\t")) / n,
-        sum(body.count(d) for d in "0123456789") / n,
-        literal / max(1, literal + rest),
+        (len(raw) - len(raw.translate(None, b"0123456789"))) / n,
+        literal / max(1, literal + len(bare.translate(_NEUTRAL))),
         total / len(lines),
         len(counts) / total,
     ]
 
 
-def _is_minified(f: list[float]) -> bool:
-    """Long lines almost without blanks, of short names."""
-    return f[5] > 100 and f[7] < 0.16 and f[3] > 0.4 and f[9] < 0.8
-
-
-def _is_data(f: list[float]) -> bool:
-    return f[9] > 0.85
-
-
 def described(df: DataFrame) -> DataFrame:
-    """(record_id, by_path, source, notice, label, minified, data, f array<double>) of each record with text."""
+    """(record_id, by_path, notice, label, f array<double>) of each record with text; f is null where the language is neither Python nor JavaScript.
+
+    ``label`` is the class that the leading comments tell: TOOL for a notice,
+    BUNDLE for a bundler's banner, HAND for any other; null without comments.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -129,16 +143,16 @@ def described(df: DataFrame) -> DataFrame:
             for i, text, lang, by_path in zip(b["record_id"], b["_text"], b["_lang"], b["by_path"]):
                 comments, body = leading_comments(text)
                 notice = says_tool(comments)
-                label = True if notice or _BANNER.match(text) else False if comments else None
-                f = features(body)
                 source = lang in ("python", "javascript")
-                rows.append((i, by_path, source, notice, label, source and _is_minified(f), source and _is_data(f), f))
-            yield pd.DataFrame(rows, columns=["record_id", "by_path", "source", "notice", "label", "minified", "data", "f"])
+                label = None if not source or not comments else BUNDLE if _BANNER.match(text) else TOOL if notice else HAND
+                rows.append((i, by_path, notice, label, features(body) if source else None))
+            out = pd.DataFrame(rows, columns=["record_id", "by_path", "notice", "label", "f"])
+            yield out.astype({"label": "Int32"})
 
     return (
         df.filter("record_id is not null and text is not null")
         .select("record_id", F.col("text").alias("_text"), language_column(F.col("path"), F.col("text")).alias("_lang"), _by_path(F.col("path")).alias("by_path"))
-        .mapInPandas(run, "record_id bigint, by_path string, source boolean, notice boolean, label boolean, minified boolean, data boolean, f array<double>")
+        .mapInPandas(run, "record_id bigint, by_path string, notice boolean, label int, f array<double>")
     )
 
 
@@ -150,19 +164,21 @@ def _assembled(df: DataFrame) -> DataFrame:
 def fit_forest(table: DataFrame, most: int = FIT_ROWS) -> RandomForestClassificationModel | None:
     """A random forest on at most about ``most`` source files, labelled by header notices that the features don't see.
 
-    Files whose leading comments state a tool or carry a bundler's banner are
-    one class, those with other leading comments the other; files without any
-    have no label and take no part. Classes are weighted to balance. None if
-    only one class occurs.
+    Files whose leading comments state a tool, those with a bundler's banner and
+    those with other leading comments are the classes; files without any have no
+    label and take no part. Classes are weighted to balance. None if only one
+    class occurs.
     """
-    rows = table.filter("source and label is not null")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    rows = table.filter("f is not null and label is not null")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # three classes
     if len(counts) < 2:
         return None
     total = sum(counts.values())
     if total > most:
         rows = rows.filter(F.pmod(F.xxhash64("record_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / total)))
-    weight = F.when(F.col("label"), total / (2 * counts[True])).otherwise(total / (2 * counts[False]))
+    weight = F.lit(1.0)
+    for label, n in counts.items():
+        weight = F.when(F.col("label") == label, total / (len(counts) * n)).otherwise(weight)
     sample = cut(_assembled(rows.select("f", F.col("label").cast("double").alias("label"), weight.alias("weight"))))
     if sample.select("label").distinct().count() < 2:
         return None
@@ -170,6 +186,30 @@ def fit_forest(table: DataFrame, most: int = FIT_ROWS) -> RandomForestClassifica
     return forest.fit(sample)
 
 
+def with_probabilities(table: DataFrame, forest: RandomForestClassificationModel | None) -> DataFrame:
+    """``p_tool`` and ``p_bundle`` of each file with features; null for others and without a forest."""
+    if forest is None:
+        return table.withColumns({"p_tool": F.lit(None).cast("double"), "p_bundle": F.lit(None).cast("double")})
+    scored = forest.transform(_assembled(table.filter("f is not null"))).withColumn("_p", vector_to_array("probability"))
+    scored = scored.select(*table.columns, F.try_element_at("_p", F.lit(TOOL + 1)).alias("p_tool"), F.try_element_at("_p", F.lit(BUNDLE + 1)).alias("p_bundle"))
+    rest = table.filter("f is null").withColumns({"p_tool": F.lit(None).cast("double"), "p_bundle": F.lit(None).cast("double")})
+    return scored.union(rest)
+
+
+def held_out(df: DataFrame) -> DataFrame:
+    """(label, decided, files): classes that a forest fit on half of the labelled files gives to the other half.
+
+    The headers that gave the labels are no part of what the forest sees, so
+    this is its recall on files whose notice is stripped. ``decided`` is BUNDLE
+    from MINIFIED on, else TOOL from 0.5 on, else HAND.
+    """
+    table = cut(described(df).filter("label is not null"))
+    half = F.pmod(F.xxhash64("record_id", F.lit(SEED)), F.lit(2)) == 0
+    scored = with_probabilities(table.filter(~half), fit_forest(table.filter(half)))
+    decided = F.when(F.col("p_bundle") >= MINIFIED, BUNDLE).when(F.col("p_tool") >= 0.5, TOOL).otherwise(HAND)
+    return scored.groupBy("label", decided.alias("decided")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def _path(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"\\", "/"))
 
@@ -186,57 +226,64 @@ def _by_path(path: Column) -> Column:
 
 
 def copies(df: DataFrame) -> DataFrame:
-    """record_ids in a directory named after the project of another repository that holds the same or nearly the same file."""
+    """record_ids in a directory named after the project of another repository that holds the same or nearly the same file.
+
+    Names are settled on paths alone; then texts of the records that claim a
+    project, and of the projects they name, are read once and set aside.
+    """
     project = F.regexp_extract(repository_key(F.col("repo_name")), r"([^/]+)$", 1)
-    base = df.filter("record_id is not null and text is not null").select("record_id", "text", "path", project.alias("project"))
     directory = F.split(F.regexp_extract(_path(F.col("path")), r"^(.*)/[^/]*$", 1), "/")
     named = F.array_distinct(F.transform(directory, lambda d: F.regexp_replace(d, r"[-_@]v?\d+(\.\d+)*$", "")))
-    parts = base.select("record_id", "project", F.explode(named).alias("part")).filter("part <> '' and not (part <=> project)")
+    known = df.filter("record_id is not null")
+    base = cut(known.select("record_id", project.alias("project"), named.alias("parts")))
     # A part other than the record's own project can only name another repository; one row per name keeps the join from growing.
+    parts = base.select("record_id", "project", F.explode("parts").alias("part")).filter("part <> '' and not (part <=> project)")
     projects = base.filter("project <> ''").select(F.col("project").alias("part")).distinct()
     claims, n = sized(parts.select("record_id", "part").join(projects, "part").dropDuplicates(["record_id", "part"]))
     if not n:
         return claims.select("record_id")
-    claimants, _ = sized(claims.select("record_id").distinct().withColumn("_claims", F.lit(True)))
-    claimed, _ = sized(claims.select(F.col("part").alias("project")).distinct().withColumn("_named", F.lit(True)))
-    marked = base.join(claimants, "record_id", "left").join(claimed, "project", "left")
-    links, members = setsim.banded_pairs(
-        marked, "record_id", "text", F.col("_named"), F.col("_claims"), COPY_K, COPY_SIMILARITY
+    claimed = claims.select(F.col("part").alias("project")).distinct().withColumn("_named", F.lit(True))
+    claimants = claims.select("record_id").distinct().withColumn("_claims", F.lit(True))
+    marks, _ = sized(
+        base.select("record_id", "project")
+        .join(claimants, "record_id", "left")
+        .join(claimed, "project", "left")
+        .filter("_named or _claims")
+        .select("record_id", "project", F.coalesce("_named", F.lit(False)).alias("_named"), F.coalesce("_claims", F.lit(False)).alias("_claims"))
+        .distinct()
     )
-    pairs = cut(setsim.expand_across(links, members))
+    kept = cut(known.filter("text is not null").select("record_id", "text").join(marks.drop("project"), "record_id"))
+    links, members = crosssplit.banded_pairs(kept, "record_id", "text", F.col("_named"), F.col("_claims"), COPY_K, COPY_SIMILARITY)
+    pairs = cut(crosssplit.expand_across(links, members))
     both = pairs.select(F.col("record_id_a").alias("record_id"), F.col("record_id_b").alias("twin")).union(
         pairs.select("record_id_b", "record_id_a")
     )
-    held, _ = sized(both.join(claims, "record_id").select("record_id", "twin", F.col("part").alias("project")).distinct())
-    origin = base.select(F.col("record_id").alias("twin"), "project")
-    return origin.join(held, ["twin", "project"]).select("record_id").distinct()
+    held = both.join(claims, "record_id").select("record_id", "twin", F.col("part").alias("project")).distinct()
+    origin = marks.select(F.col("record_id").alias("twin"), "project")
+    return held.join(origin, ["twin", "project"]).select("record_id").distinct()
 
 
 def origins(df: DataFrame) -> DataFrame:
-    """(record_id, reason, probability) of each record with text that is no license file; reason is null for hand-written source.
+    """(record_id, reason, p_tool, p_bundle, literal_share) of each record with text that is no license file; reason is null for hand-written source.
 
     Reasons, the first that holds: notice (the file says that a tool wrote it),
-    output_path, third_party, minified, data, copy. The forest picks the files
-    that are looked at for minified and data; its probability is given for all.
-    Null paths and repositories give no evidence of their own.
+    output_path, third_party, data (DATA or more of the text stands in literals),
+    minified (the forest's class of bundled files has MINIFIED or more), copy.
+    Null paths and repositories give no evidence of their own. Where the labels
+    are of one class only there is no forest, and no file is called minified.
     """
     path = F.col("path")
     licence = F.coalesce(_path(path).rlike(r"(^|/)(licen[sc]e|copying)[^/]*$"), F.lit(False))
     df = df.filter(~licence).select("record_id", "text", "path", "repo_name")
     table = cut(described(df))
-    forest = fit_forest(table)
-    if forest is None:
-        scored = table.withColumn("p", F.lit(1.0))
-    else:
-        scored = forest.transform(_assembled(table)).withColumn("p", vector_to_array("probability")[1])
-    copied = copies(df).withColumn("copied", F.lit(True))
-    copied, _ = sized(copied)
-    suspect = F.col("p") >= SUSPECT
+    scored = with_probabilities(table, fit_forest(table))
+    copied, _ = sized(copies(df).withColumn("copied", F.lit(True)))
+    share = F.col("f")[FEATURES.index("literal_share")]
     reason = (
         F.when(F.col("notice"), "notice")
         .when(F.col("by_path").isNotNull(), F.col("by_path"))
-        .when(suspect & F.col("minified"), "minified")
-        .when(suspect & F.col("data"), "data")
+        .when(share >= DATA, "data")
+        .when(F.col("p_bundle") >= MINIFIED, "minified")
         .when(F.col("copied"), "copy")
     )
-    return scored.join(copied, "record_id", "left").select("record_id", reason.alias("reason"), F.col("p").alias("probability"), "minified", "data")
+    return scored.join(copied, "record_id", "left").select("record_id", reason.alias("reason"), "p_tool", "p_bundle", share.alias("literal_share"))

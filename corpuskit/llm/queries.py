@@ -30,7 +30,11 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return origin.origins(_records(spark, sf_dir)).select("record_id", "reason", "probability")
+    return origin.origins(_records(spark, sf_dir))
+
+
+def p2_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.held_out(_records(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "p1_pairs": p1_pairs,
     "p2_found": p2_found,
     "p2_origins": p2_origins,
+    "p2_forest": p2_forest,
     "p3_found": p3_found,
     "p3_verdicts": p3_verdicts,
     "p3_directories": p3_directories,

@@ -28,8 +28,14 @@ def test_notice_at_the_end_of_a_long_leading_comment():
 def test_features_of_odd_texts():
     for t in ("", "\n", "é" * 100_000, "x" * 100_000, "\x00\x01"):
         assert len(origin.features(t)) == len(origin.FEATURES)
-    assert origin._is_data(origin.features("X = [" + ", ".join(str(i * 7919) for i in range(400)) + "]\n"))
-    assert not origin._is_data(origin.features("def f(a):\n    return a + 1\n" * 20))
+    share = origin.FEATURES.index("literal_share")
+    assert origin.features("X = [" + ", ".join(str(i * 7919) for i in range(400)) + "]\n")[share] > origin.DATA
+    assert origin.features('X = """\n' + '12,ab,0.5\n' * 40 + '"""\n')[share] > origin.DATA
+    assert origin.features("def f(a):\n    return a + 1\n" * 20)[share] < 0.5
+    documented = 'def f(a):\n    """' + "Says a lot. " * 90 + '"""\n    return a\n'
+    assert origin.features(documented)[share] < origin.DATA  # a docstring is no data
+    held = "S = '''\nx\n'''\n\n\ndef f(a):\n    return g(a, b) if a else c\n\n\nT = '''\ny\n'''\n"
+    assert origin.features(held)[share] < origin.DATA
 
 
 def _source(r, n=30):
@@ -54,9 +60,12 @@ def test_origins(spark):
     assert {i: got[i] for i in (300, 301, 302, 303, 304, 305, 307, 309, 310)} == {300: None, 301: "copy", 302: "third_party", 303: "output_path", 304: "minified", 305: "data", 307: None, 309: None, 310: None}
     assert all(got[i] is None for i in range(60)) and all(got[100 + i] == "notice" for i in range(20)) and all(got[200 + i] == "minified" for i in range(10))
     assert 306 not in got and 308 not in got
+    told = {(x["label"], x["decided"]): x["files"] for x in origin.held_out(df).collect()}
+    assert set(told) <= {(0, 0), (1, 1), (2, 2)} and told[(0, 0)] > 20 and (2, 2) in told
 
 
 def test_without_labels(spark):
     df = spark.createDataFrame([(1, "o/a", "a.py", "x = 1\n"), (2, "o/a", "gen/a.py", "x = 1\n")], "record_id bigint, repo_name string, path string, text string")
     assert {r["record_id"]: r["reason"] for r in origin.origins(df).collect()} == {1: None, 2: "output_path"}
     assert origin.origins(df.limit(0)).count() == 0
+    assert origin.held_out(df.limit(0)).count() == 0
