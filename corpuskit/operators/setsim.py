@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.shingles import MinHasher, exact_set, jaccard, shingle_set
-from corpuskit.runtime import BROADCAST_ROWS, cut, salted_join, sized
+from corpuskit.runtime import BLOCK, BROADCAST_ROWS, cut, salted_join, sized
 
 #: Min-wise coordinates used by the first split, and those that travel along
 #: as single bytes (for estimates and for deeper splits).
@@ -32,6 +32,8 @@ RUNS, TRAIL = 12, 32
 SMALL = 64
 #: Fresh coordinates by which a large bucket is split, and the deepest split.
 FAN, DEPTH = 2, 5
+#: Edges of one class that meet in one task of a round of ``groups``.
+HUB = 65_536
 #: Levels at which crowds of similar sets are taken out of large buckets.
 CROWDS = (0, 2)
 
@@ -264,27 +266,39 @@ def banded_candidates(
 def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
     """Pairs (a, b, similarity) whose exact Jaccard similarity reaches the threshold.
 
-    Only texts of records that are in a pair are moved.
+    Only texts of records that are in a pair are moved. The text of b goes along
+    with its pair; that of a is sent once for each block of its pairs, so a
+    record of many partners is spread over tasks without repeating its text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, left = None, frozenset()
-        for b in batches:
-            sims = []
-            for a, ta, tb in zip(b["a"], b["text_a"], b["text_b"]):
-                if a != last:
-                    last, left = a, exact_set(ta, k)
-                sims.append(jaccard(left, exact_set(tb, k)))
-            out = b[["a", "b"]].assign(similarity=sims)
-            yield out[out["similarity"] >= threshold]
-
-    pairs = cut(pairs)
+        left: frozenset = frozenset()
+        for batch in batches:
+            out: list[tuple] = []
+            for a, b, text, head in zip(batch["a"], batch["b"], batch["text"], batch["head"]):
+                if head:  # the text of a comes before those of its block
+                    left = exact_set(text, k)
+                    continue
+                similarity = jaccard(left, exact_set(text, k))
+                if similarity >= threshold:
+                    out.append((a, b, similarity))
+            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    pairs = cut(pairs.select("a", "b").distinct())
     ids, _ = sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    texts = cut(texts)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = texts.withColumnRenamed("id", "a").join(blocks, "a").select("a", F.lit(0).cast("bigint").alias("b"), "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(True).alias("head"))
+    hot, n = sized(blocks.filter("blocks > 1"))
+    salted = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("blocks"))) if n else pairs.withColumn("salt", F.lit(0))
+    salted = salted.select("a", "b", F.coalesce("salt", F.lit(0)).cast("int").alias("salt"))
+    other = salted_join(salted, texts.withColumnRenamed("id", "b"), "b", "a", "b").select("a", "b", "text", "salt", F.lit(False).alias("head"))
     return (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .sortWithinPartitions("a")
+        own.union(other)
+        .repartition(parts, "a", "salt")
+        .sortWithinPartitions("a", "salt", F.desc("head"))
         .mapInPandas(run, "a bigint, b bigint, similarity double")
         .dropDuplicates(["a", "b"])  # rows given twice have their text twice
     )
@@ -365,6 +379,24 @@ def expand_across(class_pairs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def similar_pairs(
+    df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, bands: int = 16, width: int = 2
+) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicates of a table: (links between classes: a < b, similarity) and (members: id, rep).
+
+    Candidates share one of ``bands`` bands of ``width`` minima, links are those
+    of exact Jaccard similarity of at least ``threshold``; a pair of similarity
+    t is missed with probability (1 - t**width)**bands (8e-8 at 0.8). Hot bands
+    are compared in blocks. Null texts and those of fewer than k words are in no
+    class; equal sets are one class, represented by its least id; repeated ids
+    count once. An empty table gives empty results. Other columns don't matter.
+    """
+    members, classes = set_classes(cut(signatures(df, id_col, text_col, k, runs=bands * width)))
+    every = classes.select("rep").withColumns({"left": F.lit(True), "right": F.lit(True)})
+    pairs = banded_candidates(classes, every, threshold, bands, width)
+    return verified(pairs, df, id_col, text_col, k, threshold), members
+
+
 def groups(class_pairs: DataFrame, members: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, class_id, group_id, links): one row per record of at least k words.
 
@@ -375,10 +407,22 @@ def groups(class_pairs: DataFrame, members: DataFrame, most_rounds: int = 60) ->
     take part in the rounds.
     """
     edges = cut(class_pairs.select("a", "b").union(class_pairs.select("b", "a")).distinct())
+    # Edges to a class of many links are spread over blocks, once for all rounds.
+    hot, n = sized(edges.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB)).cast("int").alias("blocks")).filter("blocks > 1"))
+    if n:
+        salt = F.coalesce(F.pmod(F.xxhash64("a"), F.col("blocks")), F.lit(0)).cast("int")
+        edges = cut(edges.join(hot, "b", "left").select("a", "b", salt.alias("salt")))
+
+    def neighbours(labels: DataFrame) -> DataFrame:
+        g = labels.select(F.col("a").alias("b"), F.col("group_id").alias("g"))
+        if not n:
+            return edges.join(g, "b")
+        g = g.join(hot, "b", "left").select("b", "g", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("salt"))
+        return edges.join(g, ["b", "salt"])
+
     labels = cut(edges.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.least(F.min("b"), F.col("a")).alias("group_id")))
     for _ in range(most_rounds):
-        near = edges.join(labels.select(F.col("a").alias("b"), F.col("group_id").alias("g")), "b")
-        low = near.groupBy("a").agg(F.min("g").alias("g"))
+        low = neighbours(labels).groupBy("a").agg(F.min("g").alias("g"))
         step = labels.join(low, "a").select(
             "a", "links", F.col("group_id").alias("old"), F.least("group_id", "g").alias("group_id")
         )

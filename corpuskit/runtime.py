@@ -29,13 +29,15 @@ def local_session(cpus: str = "8", app: str = "corpuskit") -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the session names.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a
-    local bench) a temporary one is made.
+    The folder is ``spark.checkpoint.dir``. Where that is unset a temporary one
+    is made, but only for a local master: executors of a cluster share no such folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpuskit-"))
     return df.checkpoint(eager=True)
 
@@ -51,31 +53,47 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
     return (F.broadcast(df) if n <= most else df), n
 
 
+#: Rows of the other side of a doubly salted join that meet in one task per key.
+FAR_BLOCK = 16_384
+
+
+def _hot(df: DataFrame, key: str, block: int, name: str) -> DataFrame:
+    """(key, name): number of blocks of each key of more than ``block`` rows."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
+    return counts.select(key, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias(name))
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, block: int = BLOCK
+    left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, block: int = BLOCK, both: bool = False
 ) -> DataFrame:
     """Inner equi-join on ``key`` that spreads hot keys over many tasks.
 
     The left rows of a key are cut into blocks of about ``block`` rows, the
-    right rows are repeated for each block. A key of n x m rows is thus worked
-    on by n/block tasks, none of which holds more than about ``block`` left
-    rows of the key. No row is lost or doubled.
+    right rows are repeated for each block. With ``both`` the right rows are cut
+    into blocks of FAR_BLOCK as well and the left rows repeated for each, so
+    that no task holds more than about block x FAR_BLOCK pairs of a key. No row
+    is lost or doubled.
     """
-    blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_blocks")
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
-    hot, n = sized(counts.select(key, blocks))
-    if not n:
-        return left.join(right, key)
-    lt = left.join(hot, key, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(left_id), F.col("_blocks")), F.lit(0)).cast("int")
-    )
-    rt = right.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_blocks"), F.lit(1)) - 1))
-    )
+    hot = _hot(left, key, block, "_blocks")
+    if both:
+        hot = hot.join(_hot(right, key, FAR_BLOCK, "_far"), key, "full")
+    else:
+        hot = hot.withColumn("_far", F.lit(1))
+    hot, n = sized(hot.select(key, F.coalesce("_blocks", F.lit(1)).alias("_blocks"), F.coalesce("_far", F.lit(1)).alias("_far")))
     # A given number of partitions: few bytes of a hot key are much work, so partitions must not be merged by size.
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = lambda df: df.drop("_blocks").repartition(parts, key, "_salt")
-    return spread(lt).join(spread(rt), [key, "_salt"]).drop("_salt")
+    if not n:
+        return left.repartition(parts, key).join(right.repartition(parts, key), key)
+
+    def placed(df: DataFrame, own: str, other: str, row: str, mine: str, theirs: str) -> DataFrame:
+        place = F.coalesce(F.pmod(F.xxhash64(row), F.col(own)), F.lit(0)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        out = df.join(hot, key, "left").withColumn(mine, place).withColumn(theirs, every)
+        return out.drop("_blocks", "_far").repartition(parts, key, "_salt", "_salt_far")
+
+    lt = placed(left, "_blocks", "_far", left_id, "_salt", "_salt_far")
+    rt = placed(right, "_far", "_blocks", right_id, "_salt_far", "_salt")
+    return lt.join(rt, [key, "_salt", "_salt_far"]).drop("_salt", "_salt_far")
 
 
 def blank_to_null(c: Column) -> Column:
