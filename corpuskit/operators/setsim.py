@@ -38,7 +38,7 @@ HUB = 65_536
 CROWDS = (0, 2)
 
 
-def _floor(threshold: float, coords: int = TRAIL) -> int:
+def agreement_floor(threshold: float, coords: int = TRAIL) -> int:
     """Least number of agreeing coordinates; 4.5 standard deviations below the threshold."""
     return max(1, math.floor(coords * threshold - 4.5 * math.sqrt(coords * threshold * (1 - threshold))))
 
@@ -142,11 +142,11 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
 
 
-def _bytes(c: str, start: Column, n: int) -> Column:
+def bytes_at(c: str, start: Column, n: int) -> Column:
     return F.substring(F.col(c), start, F.lit(n))
 
 
-def _agreeing(a: str, b: str, trail: int = TRAIL) -> Column:
+def agreeing(a: str, b: str, trail: int = TRAIL) -> Column:
     """Number of equal bytes of two trails, in the JVM."""
     same = F.transform(
         F.sequence(F.lit(1), F.lit(trail)),
@@ -159,7 +159,7 @@ def _alike(rest: DataFrame, threshold: float) -> DataFrame:
     """Rows of large buckets with ``leader``, the bucket's least rep, and ``alike``: surely similar to it."""
     sure = math.ceil(TRAIL * (threshold + (1 - threshold) / 3))
     leaders, _ = sized(rest.groupBy("bucket").agg(F.min(F.struct("rep", "sig")).alias("l")))
-    alike = _agreeing("sig", "l.sig") >= sure
+    alike = agreeing("sig", "l.sig") >= sure
     return cut(rest.join(leaders, "bucket").select("bucket", "rep", "sig", F.col("l.rep").alias("leader"), alike.alias("alike")))
 
 
@@ -170,7 +170,7 @@ def _within_buckets(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
     return (
         salted_join(lt, rt, "bucket", "x", "y")
         .filter("x <> y")
-        .filter(_agreeing("sig_x", "sig_y") >= least)
+        .filter(agreeing("sig_x", "sig_y") >= least)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
 
@@ -194,10 +194,10 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
     A pair of similarity t is missed by level 0 with probability (1-t)**RUNS
     (5e-8 at 0.7); each deeper level misses a pair of one bucket with (1-t)**FAN.
     """
-    least = _floor(threshold)
+    least = agreement_floor(threshold)
     runs = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("i")
     rows = classes.select("rep", "heads", "sig", runs).select(
-        F.xxhash64("i", _bytes("heads", F.col("i") * 4 + 1, 4)).alias("bucket"), "rep", "sig"
+        F.xxhash64("i", bytes_at("heads", F.col("i") * 4 + 1, 4)).alias("bucket"), "rep", "sig"
     )
     found: list[DataFrame] = []
     for depth in range(DEPTH + 1):
@@ -231,7 +231,7 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
         rows = cut(
             rest.select("*", F.explode(F.sequence(F.lit(1), F.lit(FAN))).alias("j"))
             .select("*", place.alias("p"))
-            .select(F.xxhash64("bucket", "p", _bytes("sig", F.col("p"), 1)).alias("bucket"), "rep", "sig")
+            .select(F.xxhash64("bucket", "p", bytes_at("sig", F.col("p"), 1)).alias("bucket"), "rep", "sig")
         )
     return reduce(DataFrame.union, found).distinct()
 
@@ -244,11 +244,11 @@ def banded_candidates(
     ``sides`` has (rep, left boolean, right boolean). ``heads`` of the classes
     must hold bands x width minima. Only buckets met from both sides give pairs.
     """
-    least = _floor(threshold)
+    least = agreement_floor(threshold)
     band = F.explode(
         F.transform(
             F.sequence(F.lit(0), F.lit(bands - 1)),
-            lambda i: F.xxhash64(i, _bytes("heads", i * (4 * width) + 1, 4 * width)),
+            lambda i: F.xxhash64(i, bytes_at("heads", i * (4 * width) + 1, 4 * width)),
         )
     ).alias("bucket")
     rows = classes.join(sides, "rep").filter("left or right").select("rep", "sig", "left", "right", band)
@@ -257,7 +257,7 @@ def banded_candidates(
     return (
         salted_join(rt, lt, "bucket", "y", "x")
         .filter("x <> y")
-        .filter(_agreeing("sig_x", "sig_y") >= least)
+        .filter(agreeing("sig_x", "sig_y") >= least)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
