@@ -23,11 +23,14 @@ def banded_pairs(
     """Near-duplicates between two sides of a table: (class links) and (members: id, rep, left, right).
 
     ``left`` and ``right`` are conditions on rows; rows of neither are ignored.
-    Nulls count as false. Class links include no class with itself.
+    Nulls count as false. Class links include no class with itself. Null texts
+    and those of fewer than k words are in no pair; rows given twice count once;
+    an empty table gives empty results. Other columns don't matter.
     """
     flags = df.select(
         F.col(id_col).alias("id"), F.coalesce(left, F.lit(False)).alias("left"), F.coalesce(right, F.lit(False)).alias("right")
     ).filter("left or right")
+    flags = flags.groupBy("id").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     kept = df.filter(F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False)))
     sigs = cut(signatures(kept, id_col, text_col, k, runs=bands * width))
     members, classes = set_classes(sigs)

@@ -15,9 +15,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.llm import crosssplit
 from corpuskit.llm.licenses import repository_key
 from corpuskit.llm.syntax import language_column
-from corpuskit.operators import setsim as crosssplit
 from corpuskit.runtime import cut, sized
 
 #: Directories that hold third-party or installed code, and those that only tool output has.
