@@ -242,7 +242,7 @@ def latest_versions(r):
 
 @query("documents")
 def near_duplicate_survivors(d):
-    links, members = setsim.chosen_path_pairs(d, "doc_id", "text")
+    links, members = setsim.similar_pairs(d, "doc_id", "text")
     reps = members.select(F.col("rep").alias("id")).distinct()
     kept = dedup.greedy_survivors(links, reps)
     return members.join(kept.withColumnRenamed("id", "rep"), "rep").select(

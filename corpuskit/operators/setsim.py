@@ -1,21 +1,15 @@
-"""Near-duplicate search over sets of word runs.
+"""Set-similarity join of a table with itself, over sets of word runs.
 
-Two candidate generators share the first step (one row per distinct set) and
-the last one (exact Jaccard on the texts):
-
-``chosen_path_pairs``  recursive splitting on sampled shared tokens, small
-    buckets by brute force, several independent runs.
-``banded_pairs``       min-wise bands; only pairs of opposite sides.
-
-Sizes: the signature table has about 180 bytes a record, whatever the length
-of the text; texts are moved only for records of surviving candidate pairs.
+One row per distinct set, candidates from min-wise bands, exact Jaccard
+similarity on the texts, connected groups of the links. The signature table has
+about 180 bytes a record, whatever the length of the text; texts are moved only
+for records of surviving candidate pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,17 +19,10 @@ from pyspark.sql import functions as F
 from corpuskit.functions.shingles import MinHasher, exact_set, jaccard, shingle_set
 from corpuskit.runtime import BLOCK, BROADCAST_ROWS, cut, salted_join, sized
 
-#: Min-wise coordinates used by the first split, and those that travel along
-#: as single bytes (for estimates and for deeper splits).
+#: Min-wise minima of four bytes, and those that travel along as single bytes for estimates.
 RUNS, TRAIL = 12, 32
-#: A bucket of at most so many sets is compared pairwise.
-SMALL = 64
-#: Fresh coordinates by which a large bucket is split, and the deepest split.
-FAN, DEPTH = 2, 5
 #: Edges of one class that meet in one task of a round of ``groups``.
 HUB = 65_536
-#: Levels at which crowds of similar sets are taken out of large buckets.
-CROWDS = (0, 2)
 
 
 def agreement_floor(threshold: float, coords: int = TRAIL) -> int:
@@ -95,53 +82,6 @@ def set_classes(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, classes
 
 
-def _small_bucket_pairs(least: int):
-    """Pairs of a partition's buckets (rows sorted by bucket) whose trails agree on at least ``least`` bytes."""
-
-    def flush(ids: list[np.ndarray], sigs: list, out_a: list, out_b: list) -> None:
-        i = np.concatenate(ids)
-        if len(i) < 2:
-            return
-        m = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(i), -1)
-        for x in range(len(i) - 1):
-            hit = np.flatnonzero((m[x + 1 :] == m[x]).sum(1) >= least)
-            if len(hit):
-                out_a.append(np.full(len(hit), i[x]))
-                out_b.append(i[x + 1 + hit])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, sigs = None, [], []
-        for b in batches:
-            if b.empty:
-                continue
-            out_a: list[np.ndarray] = []
-            out_b: list[np.ndarray] = []
-            keys, rid, sig = b["bucket"].to_numpy(), b["rep"].to_numpy(), b["sig"].tolist()
-            ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
-            at = 0
-            for end in ends:
-                if keys[at] != key and ids:
-                    flush(ids, sigs, out_a, out_b)
-                    ids, sigs = [], []
-                key = keys[at]
-                ids.append(rid[at:end])
-                sigs.extend(sig[at:end])
-                at = end
-            if out_a:
-                yield _ordered(np.concatenate(out_a), np.concatenate(out_b))
-        out_a, out_b = [], []
-        if ids:
-            flush(ids, sigs, out_a, out_b)
-        if out_a:
-            yield _ordered(np.concatenate(out_a), np.concatenate(out_b))
-
-    return run
-
-
-def _ordered(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
-
-
 def bytes_at(c: str, start: Column, n: int) -> Column:
     return F.substring(F.col(c), start, F.lit(n))
 
@@ -155,87 +95,6 @@ def agreeing(a: str, b: str, trail: int = TRAIL) -> Column:
     return F.aggregate(same, F.lit(0), lambda x, y: x + y)
 
 
-def _alike(rest: DataFrame, threshold: float) -> DataFrame:
-    """Rows of large buckets with ``leader``, the bucket's least rep, and ``alike``: surely similar to it."""
-    sure = math.ceil(TRAIL * (threshold + (1 - threshold) / 3))
-    leaders, _ = sized(rest.groupBy("bucket").agg(F.min(F.struct("rep", "sig")).alias("l")))
-    alike = agreeing("sig", "l.sig") >= sure
-    return cut(rest.join(leaders, "bucket").select("bucket", "rep", "sig", F.col("l.rep").alias("leader"), alike.alias("alike")))
-
-
-def _within_buckets(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
-    """Candidate pairs of left and right rows of a bucket, in salted blocks."""
-    lt = left.select("bucket", F.col("rep").alias("x"), F.col("sig").alias("sig_x"))
-    rt = right.select("bucket", F.col("rep").alias("y"), F.col("sig").alias("sig_y"))
-    return (
-        salted_join(lt, rt, "bucket", "x", "y")
-        .filter("x <> y")
-        .filter(agreeing("sig_x", "sig_y") >= least)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    )
-
-
-def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SMALL, complete: bool = True) -> DataFrame:
-    """Distinct candidate pairs (a < b) of classes by the chosen-path join.
-
-    Level 0 splits all sets by RUNS independent min-wise tokens. A bucket of at
-    most ``small`` sets is compared by brute force on the trails; a larger one
-    is split again by FAN fresh tokens chosen by its own path, down to DEPTH.
-    What is still large then (truly similar sets, mostly) is compared in blocks
-    spread over many tasks; no bucket is capped and no set dropped.
-
-    Splitting can't part truly similar sets. At the levels in CROWDS the sets
-    that are like the first one of their large bucket are compared with the
-    whole bucket at once and leave it. With ``complete`` false they are only linked to the first
-    one, which is linear in their number but may lose links that groups need:
-    those to sets that are not like the first one, and all of a set whose link
-    to the first one turns out to be below the threshold. No query uses it.
-
-    A pair of similarity t is missed by level 0 with probability (1-t)**RUNS
-    (5e-8 at 0.7); each deeper level misses a pair of one bucket with (1-t)**FAN.
-    """
-    least = agreement_floor(threshold)
-    runs = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("i")
-    rows = classes.select("rep", "heads", "sig", runs).select(
-        F.xxhash64("i", bytes_at("heads", F.col("i") * 4 + 1, 4)).alias("bucket"), "rep", "sig"
-    )
-    found: list[DataFrame] = []
-    for depth in range(DEPTH + 1):
-        # Large buckets are counted with a combine on the map side; their rows need no shuffle here.
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        large, n = sized(sizes.filter(F.col("size") > small).select("bucket"))
-        found.append(
-            cut(
-                (rows.join(large, "bucket", "left_anti") if n else rows)
-                .repartition("bucket")
-                .sortWithinPartitions("bucket")
-                .mapInPandas(_small_bucket_pairs(least), "a bigint, b bigint")
-            )
-        )
-        if not n:
-            break
-        rest = rows.join(large, "bucket")
-        if depth in CROWDS:
-            rest = _alike(rest, threshold)
-            if complete:
-                found.append(_within_buckets(rest.filter("alike"), rest, least))
-                rest = rest.filter("not alike")
-            else:
-                found.append(rest.filter("alike and rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-                rest = rest.filter("not alike or rep = leader")
-            rest = rest.select("bucket", "rep", "sig")
-        if depth == DEPTH:
-            found.append(_within_buckets(rest, rest, least))
-            break
-        place = F.pmod(F.xxhash64("bucket") + F.col("j"), F.lit(TRAIL)).cast("int") + 1  # FAN different ones
-        rows = cut(
-            rest.select("*", F.explode(F.sequence(F.lit(1), F.lit(FAN))).alias("j"))
-            .select("*", place.alias("p"))
-            .select(F.xxhash64("bucket", "p", bytes_at("sig", F.col("p"), 1)).alias("bucket"), "rep", "sig")
-        )
-    return reduce(DataFrame.union, found).distinct()
-
-
 def banded_candidates(
     classes: DataFrame, sides: DataFrame, threshold: float, bands: int = 16, width: int = 2
 ) -> DataFrame:
@@ -257,8 +116,9 @@ def banded_candidates(
     return (
         salted_join(rt, lt, "bucket", "y", "x")
         .filter("x <> y")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sig_x", "sig_y")
         .filter(agreeing("sig_x", "sig_y") >= least)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .select("a", "b")
         .distinct()
     )
 
@@ -304,81 +164,6 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int
     )
 
 
-def expand_classes(class_pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of records (record_id_a < record_id_b): of linked classes, and within a class."""
-    ma = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    mb = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = class_pairs.select("a", "b").join(ma, "a").join(mb, "b").select("x", "y")
-    several, _ = sized(members.filter("id <> rep").select("rep").distinct())
-    twins = members.join(several, "rep", "left_semi")
-    within = salted_join(
-        twins.select("rep", F.col("id").alias("x")), twins.select("rep", F.col("id").alias("y")), "rep", "x", "y"
-    ).filter("x < y").select("x", "y")
-    return across.union(within).select(
-        F.least("x", "y").alias("record_id_a"), F.greatest("x", "y").alias("record_id_b")
-    )
-
-
-def chosen_path_pairs(
-    df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, complete: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicates of a table: (links between classes: a, b, similarity) and (members: id, rep).
-
-    With ``complete`` false crowded buckets give links to one set of theirs
-    only, and groups may fall apart (see ``chosen_path_candidates``).
-
-    Null and short texts (fewer than k words) are in no class; equal sets are
-    one class, represented by its least id; repeated ids count once a row. An
-    empty table gives empty results. Other columns don't matter.
-    """
-    members, classes = set_classes(cut(signatures(df, id_col, text_col, k)))
-    pairs = chosen_path_candidates(classes, threshold, SMALL, complete)
-    return verified(pairs, df, id_col, text_col, k, threshold), members
-
-
-def banded_pairs(
-    df: DataFrame,
-    id_col: str,
-    text_col: str,
-    left: Column,
-    right: Column,
-    k: int = 5,
-    threshold: float = 0.8,
-    bands: int = 16,
-    width: int = 2,
-) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicates between two sides of a table: (class links) and (members: id, rep, left, right).
-
-    ``left`` and ``right`` are conditions on rows; rows of neither are ignored.
-    Nulls count as false. Class links include no class with itself.
-    """
-    flags = df.select(
-        F.col(id_col).alias("id"), F.coalesce(left, F.lit(False)).alias("left"), F.coalesce(right, F.lit(False)).alias("right")
-    ).filter("left or right")
-    kept = df.filter(F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False)))
-    sigs = cut(signatures(kept, id_col, text_col, k, runs=bands * width))
-    members, classes = set_classes(sigs)
-    members = cut(members.join(flags, "id"))
-    sides = members.groupBy("rep").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    pairs = banded_candidates(classes, sides, threshold, bands, width)
-    return verified(pairs, kept, id_col, text_col, k, threshold), members
-
-
-def expand_across(class_pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of records on opposite sides, of linked classes and within a class."""
-    lt = members.filter("left").select(F.col("rep").alias("l"), F.col("id").alias("x"))
-    rt = members.filter("right").select(F.col("rep").alias("r"), F.col("id").alias("y"))
-    both = class_pairs.select(F.col("a").alias("l"), F.col("b").alias("r"))
-    both = both.union(both.select("r", "l"))
-    across = both.join(lt, "l").join(rt, "r").select("x", "y")
-    within = salted_join(lt.withColumnRenamed("l", "rep"), rt.withColumnRenamed("r", "rep"), "rep", "x", "y").select("x", "y")
-    return (
-        across.union(within)
-        .filter("x <> y")
-        .select(F.least("x", "y").alias("record_id_a"), F.greatest("x", "y").alias("record_id_b"))
-    )
-
-
 def similar_pairs(
     df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, bands: int = 16, width: int = 2
 ) -> tuple[DataFrame, DataFrame]:

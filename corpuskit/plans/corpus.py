@@ -28,7 +28,7 @@ def _without_near(df: DataFrame, stages: DataFrame, id_col: str) -> DataFrame:
     accepted, _ = sized(stages.filter("reason = 'accepted'").select(id_col))
     # Words of two or more letters, digits and _ that don't begin with a digit.
     words = F.array_join(F.regexp_extract_all(T.normalize_for_dedup(T.normalize_source(F.col("text"))), F.lit("([a-z_][a-z0-9_]+)"), 1), " ")
-    links, members = setsim.chosen_path_pairs(
+    links, members = setsim.similar_pairs(
         df.join(accepted, id_col, "left_semi").select(id_col, words.alias("words")), id_col, "words", NEAR_K, NEAR_SIMILARITY
     )
     kept = dedup.greedy_survivors(links, members.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")

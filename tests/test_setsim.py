@@ -1,11 +1,8 @@
 import itertools
 import random
 
-from pyspark.sql import functions as F
-
 from corpuskit.functions.shingles import exact_jaccard
 from corpuskit.operators import setsim
-from corpuskit.operators.setsim import _small_bucket_pairs
 
 SCHEMA = "id bigint, text string, side string, rep string, sig string, bucket string, a string, left string"
 
@@ -34,58 +31,24 @@ def brute(rows, k, t):
     return {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if exact_jaccard(texts[a], texts[b], k) >= t}
 
 
-def test_chosen_path_finds_what_brute_force_finds(spark):
+def test_similar_pairs_are_those_of_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA)
-    for k, t in ((3, 0.7), (5, 0.8)):
-        links, members = setsim.chosen_path_pairs(df, "id", "text", k, t)
-        got = [tuple(x) for x in setsim.expand_classes(links, members).collect()]
-        assert sorted(got) == sorted(brute(rows, k, t))
+    for k, t in ((3, 0.8), (5, 0.92)):
+        links, members = setsim.similar_pairs(df, "id", "text", k, t)
+        rep = {r["id"]: r["rep"] for r in members.collect()}
+        linked = {(r["a"], r["b"]) for r in links.collect()}
+        want = {tuple(sorted((rep[a], rep[b]))) for a, b in brute(rows, k, t) if rep[a] != rep[b]}
+        assert linked == want
+        assert all(rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in linked for a, b in brute(rows, k, t))
 
 
-def test_large_buckets_are_split_and_finished_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(setsim, "SMALL", 2)
-    monkeypatch.setattr(setsim, "DEPTH", 1)
-    r = random.Random(9)
+def test_a_text_with_many_partners_is_split(spark, monkeypatch):
+    monkeypatch.setattr(setsim, "BLOCK", 4)
     base = [f"w{i}" for i in range(60)]
-    rows = []
-    for i in range(40):  # one group of distinct near copies: every bucket is large
-        c = list(base)
-        c[r.randrange(60)] = f"v{i}"
-        rows.append((i, " ".join(c), "train", "", "", "", "", ""))
-    df = spark.createDataFrame(rows, SCHEMA)
-    sigs = setsim.signatures(df, "id", "text", 3)
-    _, classes = setsim.set_classes(sigs)
-    pairs = setsim.chosen_path_candidates(classes, 0.7, small=2)
-    got = {tuple(x)[:2] for x in setsim.verified(pairs, df, "id", "text", 3, 0.7).collect()}
-    assert got == brute(rows, 3, 0.7)
-
-
-def test_groups_need_links_to_one_member_only(spark):
-    r = random.Random(9)
-    base = [f"w{i}" for i in range(80)]
-    rows = []
-    for i in range(150):  # a crowd of distinct near copies, and strangers
-        c = list(base)
-        c[r.randrange(80)] = f"v{i}"
-        rows.append((i, " ".join(c if i % 3 else [f"s{i}x{j}" for j in range(40)]), "", "", "", "", "", ""))
-    df = spark.createDataFrame(rows, SCHEMA)
-    links, members = setsim.chosen_path_pairs(df, "id", "text", 3, 0.7, complete=False)
-    full, same = setsim.chosen_path_pairs(df, "id", "text", 3, 0.7)
-    assert links.count() < full.count() / 5
-    assert full.count() == len(brute(rows, 3, 0.7))
-    part = lambda a, b: {(x["id"], x["group_id"]) for x in setsim.groups(a, b).collect()}
-    assert part(links, members) == part(full, same)
-
-
-def test_bands_find_pairs_across_sides_only(spark):
-    rows = corpus(seed=5)
-    df = spark.createDataFrame(rows, SCHEMA)
-    links, members = setsim.banded_pairs(df, "id", "text", F.col("side") == "train", F.col("side") == "test", 3, 0.7)
-    side = {i: s for i, _, s, *_ in rows}
-    want = {p for p in brute(rows, 3, 0.7) if {side[p[0]], side[p[1]]} == {"train", "test"}}
-    got = [tuple(x) for x in setsim.expand_across(links, members).distinct().collect()]
-    assert sorted(got) == sorted(want)
+    rows = [(i, " ".join([*base[:i], f"v{i}", *base[i + 1 :]]), "", "", "", "", "", "") for i in range(30)]
+    links, _ = setsim.similar_pairs(spark.createDataFrame(rows, SCHEMA), "id", "text", 3, 0.8)
+    assert {(r["a"], r["b"]) for r in links.collect()} == brute(rows, 3, 0.8)
 
 
 def test_groups_are_components_of_links(spark):
@@ -95,19 +58,14 @@ def test_groups_are_components_of_links(spark):
     assert got == {1: (1, 1, 1), 2: (2, 1, 2), 3: (3, 1, 2), 9: (9, 1, 1), 11: (9, 1, 1), 5: (5, 5, 1), 6: (6, 5, 1), 8: (8, 8, 0)}
 
 
-def test_empty_table(spark):
-    df = spark.createDataFrame([], SCHEMA)
-    links, members = setsim.chosen_path_pairs(df, "id", "text")
-    assert links.count() == members.count() == setsim.groups(links, members).count() == 0
-    links, members = setsim.banded_pairs(df, "id", "text", F.col("side") == "train", F.col("side") == "test")
-    assert setsim.expand_across(links, members).count() == 0
-
+def test_groups_with_hubs_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(setsim, "HUB", 5)
+    links = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(50, 51)], "a bigint, b bigint")
+    members = spark.createDataFrame([(i, i) for i in [*range(40), 50, 51]], "id bigint, rep bigint")
+    got = {r["id"]: (r["group_id"], r["links"]) for r in setsim.groups(links, members).collect()}
+    assert got == {i: (0, 39 if i == 0 else 1) for i in range(40)} | {50: (50, 1), 51: (50, 1)}
 
-def test_buckets_may_go_on_in_the_next_batch():
-    import pandas as pd
 
-    sig = bytes(range(32))
-    one = pd.DataFrame({"bucket": [1, 2, 2], "rep": [7, 3, 4], "sig": [sig] * 3})
-    two = pd.DataFrame({"bucket": [2, 5], "rep": [1, 9], "sig": [sig] * 2})
-    got = pd.concat(_small_bucket_pairs(10)(iter([one, two])))
-    assert set(map(tuple, got.values)) == {(3, 4), (1, 3), (1, 4)}
+def test_empty_table(spark):
+    links, members = setsim.similar_pairs(spark.createDataFrame([], SCHEMA), "id", "text")
+    assert links.count() == members.count() == setsim.groups(links, members).count() == 0
