@@ -37,9 +37,9 @@ def test_equals_brute_force():
             else:
                 part.insert(at, "more")
         doc = [r.choice(words) for _ in range(r.randint(0, 30))] + part + [r.choice(words) for _ in range(r.randint(0, 30))]
-        probe = leaks.Probe([item])
-        a = leaks.word_hashes(doc)
-        got = bool(probe.leaked(a, probe.hits(a)))
+        a, b = leaks.word_hashes(doc), leaks.word_hashes(item)
+        places = [[(p, q) for p, x in enumerate(leaks.seeds(a, m)) for q, y in enumerate(leaks.seeds(b, m)) if x == y] for m in leaks.MASKS]
+        got = len(item) >= leaks.LEAST and len(places[0]) > 1 and leaks.holds(a, b, [x for ps in places for x in ps])
         want = brute(" ".join(doc), " ".join(item))
         hits += want
         assert got == want
@@ -64,9 +64,22 @@ def test_table(spark):
     assert leaks.leaks(d.limit(0), i).count() == leaks.leaks(d, i.limit(0)).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    docs = [(k, " ".join(f"w{k}x{j}" for j in range(25))) for k in range(6)]
-    items = [(k, " ".join(f"w{k}x{j}" for j in range(25)), None) for k in range(6)]
-    monkeypatch.setattr(leaks, "PASS_WORDS", 60)
+def test_filter_lets_every_known_seed_through(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    known = r.integers(0, 2**63, 3_000, dtype=np.uint64)
+    filter_, bits = leaks.bloom(spark.createDataFrame([(int(x),) for x in known.view(np.int64)], "seed bigint"), len(known))
+    assert len(leaks._passes(known, filter_, bits)) == len(known)
+    strange = r.integers(0, 2**63, 100_000, dtype=np.uint64)
+    assert len(leaks._passes(strange, filter_, bits)) < 100
+
+
+def test_hot_seeds_and_many_items(spark):
+    """A phrase that stands in every document and item, and one leak among them."""
+    common = " ".join(f"c{j}" for j in range(8))
+    docs = [(k, f"{common} " + " ".join(f"d{k}x{j}" for j in range(25)) + (f" {common}" * 3)) for k in range(40)]
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(25)) + f" {common}", None) for k in range(40)]
+    docs.append((99, "so " + items[7][1].replace("w7x3 ", "odd ") + " it ends"))
     got = leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, prompt string, answer string"))
-    assert sorted(map(tuple, got.collect())) == [(k, k) for k in range(6)]
+    assert [tuple(x) for x in got.collect()] == [(99, 7)]
