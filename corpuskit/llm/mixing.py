@@ -4,39 +4,49 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.runtime import BROADCAST_ROWS, cut
+from corpuskit.runtime import cut, sized
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte_bpe_50k splits a text before it merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Residuals that one step of the reduction tree combines.
-FAN_IN = 256
+#: Documents of a source that the first step rounds together, and residuals that one step of the reduction tree combines.
+BUNCH, FAN_IN = 4_096, 256
+#: A vocabulary file of at most so many bytes is sent to the tasks.
+VOCABULARY_BYTES = 64 << 20
 
-_encoders: dict[str, object] = {}
+_encoders: dict[int, object] = {}
 
 
-def _encoder(path: str):
-    if path not in _encoders:
+def _encoder(raw: bytes):
+    """The encoder of a vocabulary file's content, made once a process."""
+    key = xxhash.xxh3_64_intdigest(raw)
+    if key not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        _encoders[key] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keep`` and ``tokens``, the number of tokens of the whole text; 0 for null and empty texts."""
+    """``keep`` and ``tokens``, the number of tokens of the whole text; 0 for null and empty texts.
+
+    The vocabulary file is read by the driver and sent along, so that executors need no copy of it.
+    """
+    raw = Path(vocabulary).read_bytes()
+    if len(raw) > VOCABULARY_BYTES:
+        raise ValueError(f"{vocabulary} has {len(raw)} bytes; at most {VOCABULARY_BYTES} are sent to tasks")
+    shared = df.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _encoder(shared.value).encode_ordinary
         for b in batches:
             yield b.drop(columns="_text").assign(tokens=[len(encode(t)) if t else 0 for t in b["_text"]])
 
@@ -113,36 +123,26 @@ def _combiner(seed: int):
     return combine
 
 
-def _plan(sizes: DataFrame, targets: DataFrame, total: int | None) -> list[dict]:
-    """Per target source: available tokens and the expected copies of each of its documents.
+def planned(sizes: DataFrame, targets: DataFrame, total: int | None) -> DataFrame:
+    """Per target source: tokens and documents at hand, tokens wanted and the expected copies of each of its documents.
 
-    The targets are a settings table with a row a source; its size is checked.
+    Null shares and caps count as 0; sources without documents have 0 copies.
     """
-    n = targets.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"{n} target rows: a table of targets has one row per source")
     per = sizes.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("documents"))
-    everything = total
-    if everything is None:
-        everything = sizes.agg(F.sum("tokens")).first()[0] or 0
-    rows = targets.join(per, "source", "left").select("source", "target_share", "max_repeats", "available", "documents").collect()
-    plan = []
-    for r in rows:
-        share, cap = r["target_share"] or 0.0, max(0, r["max_repeats"] or 0)
-        available = r["available"] or 0
-        wanted = share * everything
-        plan.append(
-            {
-                "source": r["source"],
-                "target_share": r["target_share"],
-                "max_repeats": r["max_repeats"],
-                "available": available,
-                "documents": r["documents"] or 0,
-                "wanted": wanted,
-                "copies": min(wanted / available, float(cap)) if available else 0.0,
-            }
-        )
-    return plan
+    if total is None:
+        total = sizes.agg(F.sum("tokens")).first()[0] or 0
+    wanted = F.coalesce("target_share", F.lit(0.0)) * F.lit(float(total))
+    cap = F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("double")
+    copies = F.when(F.col("available") > 0, F.least(wanted / F.col("available"), cap)).otherwise(0.0)
+    return targets.join(per, "source", "left").select(
+        "source",
+        "target_share",
+        "max_repeats",
+        F.coalesce("available", F.lit(0)).cast("bigint").alias("available"),
+        F.coalesce("documents", F.lit(0)).alias("documents"),
+        wanted.alias("wanted"),
+        copies.alias("copies"),
+    )
 
 
 def mixed(
@@ -154,7 +154,7 @@ def mixed(
     total: int | None = None,
     seed: int = 5,
     vocabulary: str = VOCABULARY,
-) -> tuple[DataFrame, list[dict]]:
+) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, tokens, copies) of every document, and the plan of the sources.
 
     Each source is to have its target_share of ``total`` tokens (default: the
@@ -167,84 +167,87 @@ def mixed(
 
     Documents without source, or of sources without target, get 0 copies, as do
     those of null targets or caps. Texts without tokens get the whole copies
-    only. Ids are taken as unique.
+    only. Ids are taken as unique; target sources are.
 
-    The rounding is one pass over the partitions; the one fractional document
-    that each partition leaves per source goes through a tree of FAN_IN.
+    The documents of a source are rounded in bunches of about BUNCH by a hash of
+    their ids, so the result doesn't follow the layout of files; the one
+    fractional document that each bunch leaves goes through a tree of FAN_IN.
     """
     sizes = cut(token_counts(df.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), text), ["id", "source"], text, vocabulary))
-    plan = _plan(sizes, targets, total)
-    copies = {r["source"]: r["copies"] for r in plan if r["source"] is not None}
-    whole = {s: int(c + 1e-9) for s, c in copies.items()}
-    part = {s: max(0.0, c - whole[s]) for s, c in copies.items()}
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> Iterator[tuple[str, int, int, float]]:
-            for b in batches:
-                for i, s, w in zip(b["id"], b["source"], b["tokens"]):
-                    if w > 0 and part.get(s, 0.0) > 0:
-                        yield s, i, w, part[s]
-
-        # Results are as small as the ids of the partition's documents.
-        yield _rounded(rows(), seed)
-
-    step = cut(sizes.mapInPandas(first, _STEP))
-    settled = step.filter("extra is not null").select("source", "id", "extra")
-    left = step.filter("extra is null").select("source", "id", "w", "p")
+    plan = cut(planned(sizes, targets, total))
+    whole = F.floor(F.col("copies") + 1e-9).cast("int")
+    shares_of, _ = sized(
+        plan.filter("source is not null").select("source", "documents", whole.alias("whole"), F.greatest(F.col("copies") - whole, F.lit(0.0)).alias("p"))
+    )
+    drawn = sizes.join(shares_of, "source").filter("tokens > 0 and p > 0 and id is not null")
+    left = drawn.select("source", "id", F.col("tokens").alias("w"), "p", F.ceil(F.col("documents") / F.lit(BUNCH)).alias("bunches"))
+    settled = None
     level = 0
     while True:
-        level += 1
-        most = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        bunch = F.pmod(F.xxhash64("id", F.lit(seed + level)), F.col("bunches")).alias("bunch")
+        step = left.select("source", "id", "w", "p", bunch).groupBy("source", "bunch").applyInPandas(_combiner(seed + level), _STEP)
+        step = cut(step)
+        done = step.filter("extra is not null").select("source", "id", "extra")
+        settled = done if settled is None else settled.union(done)
+        rest = step.filter("extra is null").select("source", "id", "w", "p")
+        counts, _ = sized(rest.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+        most = counts.agg(F.max("n")).first()[0] or 0
         if most <= 1:
             break
-        bunch = -(-most // FAN_IN)
-
-        step = cut(
-            left.withColumn("bunch", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(bunch))).groupBy("source", "bunch").applyInPandas(_combiner(seed + level), _STEP)
-        )
-        settled = settled.union(step.filter("extra is not null").select("source", "id", "extra"))
-        left = step.filter("extra is null").select("source", "id", "w", "p")
+        level += 1
+        left = rest.join(counts, "source").select("source", "id", "w", "p", F.ceil(F.col("n") / F.lit(FAN_IN)).alias("bunches"))
     # The last fraction of a source is drawn.
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    settled = settled.union(left.select("source", "id", (draw < F.col("p")).cast("int").alias("extra")))
-    base = F.lit(0)
-    for s, c in whole.items():
-        if c:
-            base = F.when(F.col("source") == s, c).otherwise(base)
+    settled = settled.union(rest.select("source", "id", (draw < F.col("p")).cast("int").alias("extra")))
     chosen = settled.filter("extra = 1").select("id", "extra")
-    out = sizes.join(chosen, "id", "left").select(
-        F.col("id").alias(doc_id), F.col("source").alias(source), "tokens", (base + F.coalesce("extra", F.lit(0))).cast("int").alias("copies")
-    )
-    return out, plan
+    copies = (F.coalesce("whole", F.lit(0)) + F.coalesce("extra", F.lit(0))).cast("int")
+    out = sizes.join(shares_of.select("source", "whole"), "source", "left").join(chosen, "id", "left")
+    return out.select(F.col("id").alias(doc_id), F.col("source").alias(source), "tokens", copies.alias("copies")), plan
 
 
-def shares(result: DataFrame, plan: list[dict], source: str = "source") -> DataFrame:
+def shares(result: DataFrame, plan: DataFrame, source: str = "source") -> DataFrame:
     """Per target source: wanted and reached tokens and shares, copies, and whether it falls short by more than a document."""
-    spark = result.sparkSession
-    schema = "source string, target_share double, max_repeats int, available bigint, documents bigint, wanted double, copies double"
-    wanted = spark.createDataFrame([tuple(r.values()) for r in plan], schema).drop("copies")
     got = result.groupBy(F.col(source).alias("source")).agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("chosen_tokens"),
         F.sum("copies").alias("chosen_copies"),
         F.max("copies").alias("most_repeats"),
         F.max("tokens").alias("_longest"),
     )
-    every = got.agg(F.sum("chosen_tokens").alias("_total"))
+    got = cut(got)
+    every = got.agg(F.sum("chosen_tokens")).first()[0] or 0
     chosen = F.coalesce("chosen_tokens", F.lit(0))
-    return (
-        wanted.join(got, "source", "left")
-        .join(F.broadcast(every))  # one row
-        .select(
-            "source",
-            "target_share",
-            "max_repeats",
-            "documents",
-            "available",
-            "wanted",
-            chosen.alias("chosen_tokens"),
-            F.coalesce("chosen_copies", F.lit(0)).alias("chosen_copies"),
-            F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
-            (chosen / F.col("_total")).alias("reached_share"),
-            (F.col("wanted") - chosen > F.coalesce("_longest", F.lit(0))).alias("falls_short"),
-        )
+    return plan.join(got, "source", "left").select(
+        "source",
+        "target_share",
+        "max_repeats",
+        "documents",
+        "available",
+        "wanted",
+        chosen.alias("chosen_tokens"),
+        F.coalesce("chosen_copies", F.lit(0)).alias("chosen_copies"),
+        F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+        (chosen / F.lit(float(every))).alias("reached_share") if every else F.lit(None).cast("double").alias("reached_share"),
+        (F.col("wanted") - chosen > F.coalesce("_longest", F.lit(0))).alias("falls_short"),
+    )
+
+
+def invariants(result: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """Per target source its documents, and 1 where a rule is broken (0 throughout).
+
+    Rules: no document beyond the cap, the copies of two documents differ by one
+    at most, the tokens reached are within a document of what share and cap allow.
+    """
+    per = result.groupBy(F.col(source).alias("source")).agg(
+        F.max("copies").alias("most"), F.min("copies").alias("least"), F.sum(F.col("tokens") * F.col("copies")).alias("chosen"), F.max("tokens").alias("longest")
+    )
+    j = plan.join(per, "source", "left").fillna(0, ["most", "least", "chosen", "longest"])
+    cap = F.coalesce("max_repeats", F.lit(0))
+    allowed = F.col("copies") * F.col("available")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return j.select(
+        "source",
+        "documents",
+        flag(F.col("most") > cap).alias("beyond_cap"),
+        flag(F.col("most") - F.col("least") > 1).alias("uneven"),
+        flag(F.abs(F.col("chosen") - allowed) > F.col("longest")).alias("off_target"),
     )

@@ -136,7 +136,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(p8_found(spark, sf_dir))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mixed(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))
 
 
@@ -148,6 +148,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each target source, and whether a rule of the mixing is broken."""
+    return mixing.invariants(*_mix(spark, sf_dir))
+
+
 def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.prose_statistics(_documents(spark, sf_dir))
 
@@ -179,6 +184,7 @@ QUERIES: dict[str, Query] = {
     "p8_items": p8_items,
     "p9_copies": p9_copies,
     "p9_shares": p9_shares,
+    "p9_invariants": p9_invariants,
     "p10_found": p10_found,
     "p10_stats": p10_stats,
 }
@@ -225,4 +231,6 @@ SQL: dict[str, str] = {
         cls as (select x.record_id, min(y.record_id) as class_id from sets x join sets y on list_sort(x.s) = list_sort(y.s) group by 1),
         links as (select e.a as record_id, count(distinct c.class_id) as links from e join cls c on c.record_id = e.b join cls o on o.record_id = e.a where c.class_id <> o.class_id group by 1)
         select record_id, class_id, group_id, coalesce(links, 0) as links from cls join grp using (record_id) left join links using (record_id)""",
+    "p9_invariants": """select t.source, count(d.doc_id) as documents, 0 as beyond_cap, 0 as uneven, 0 as off_target
+        from mix_targets t left join documents d on d.source = t.source group by 1""",
 }

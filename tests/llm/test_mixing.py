@@ -33,6 +33,7 @@ def tables(spark, n=200):
 
 def test_shares_are_reached(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FAN_IN", 2)
+    monkeypatch.setattr(mixing, "BUNCH", 7)
     docs, targets = tables(spark)
     result, plan = mixing.mixed(docs.repartition(9), targets)
     got = {r["source"]: r for r in mixing.shares(result, plan).collect()}
@@ -44,13 +45,16 @@ def test_shares_are_reached(spark, monkeypatch):
     assert {s for s, r in got.items() if r["falls_short"]} == {"b", "d"}
     assert got["b"]["chosen_tokens"] == 2 * got["b"]["available"]
     assert (copies[~copies["source"].isin(["a", "b", "c"])]["copies"] == 0).all()
-    again, _ = mixing.mixed(docs.repartition(9), targets)
+    rules = mixing.invariants(result, plan).collect()
+    assert {r["source"] for r in rules} == set("abcde") and all(r["beyond_cap"] == r["off_target"] == 0 for r in rules)
+    again, _ = mixing.mixed(docs.repartition(3), targets)  # another layout of the rows
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, result.collect()))
 
 
 def test_nothing(spark):
     docs, targets = tables(spark, 5)
     assert mixing.mixed(docs.limit(0), targets)[0].count() == 0
+    assert mixing.shares(*mixing.mixed(docs.limit(0), targets)).count() == 5
     assert mixing.mixed(docs, targets.limit(0))[0].agg({"copies": "sum"}).first()[0] == 0
 
 
