@@ -105,7 +105,7 @@ def composite_hash(e):
     sql=f"""with t as (select record_id, coalesce(path, '') as path, {_NORM_TEXT} as t from code_records)
     select record_id, case
         when octet_length(encode(t)) < 80 then 'too_short' when octet_length(encode(t)) > 2000000 then 'too_large'
-        when {_contains('lower(path)', quality.GENERATED_NAMES)} then 'generated_file'
+        when {_contains('lower(path)', quality.GENERATED_NAMES)} then 'generated_file' when t is null then 'invalid_utf8'
         when trim(regexp_replace(t, '\\s+', '', 'g')) = '' then 'empty_file'
         when {_contains("lower(array_to_string(string_split(t, chr(10))[1:10], chr(10)))", quality.GENERATED_MARKERS)} then 'generated_file'
         when {_MINIFIED.format('t')} then 'minified_file' else 'accepted' end as reason from t""",
@@ -182,15 +182,24 @@ def technical_scores(d):
     return d.filter("text is not null").select("doc_id", quality.technical_score(F.col("text")).alias("score"))
 
 
-@query("documents")
+_MEASURES = f"""e as ({SQL['character_entropy']}), b as ({SQL['encoded_shares']}), l as ({SQL['repeated_lines']}), s as ({SQL['technical_scores']})"""
+
+
+@query(
+    "documents",
+    sql=f"""with {_MEASURES} select case when entropy < 2.5 then 'low_entropy' when base64 > 0.35 then 'base64_blob' when hex > 0.35 then 'hex_dump'
+        when repeated_share > 0.35 then 'repeated_sequences' when score < 2 then 'low_technical_content' else 'accepted' end as reason, count(*) as documents
+        from e join b using (doc_id) join l using (doc_id) join s using (doc_id) group by 1""",
+)
 def quality_report(d):
-    d = d.filter("text is not null")
-    e = quality.entropy(d, "doc_id", "text")
-    r = quality.repeated_lines(d, "doc_id", "text")
-    t = F.col("text")
-    m = {"entropy": F.col("entropy"), "base64": quality.base64_share(t), "hex": quality.hex_share(t), "repeated": F.col("repeated_share"), "score": quality.technical_score(t)}
-    reason = quality.quality_reason(m, F.lit("technical_text"))
-    return d.join(e, "doc_id").join(r, "doc_id").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("documents"))
+    m = quality.measures(d, "doc_id", "text")
+    reason = quality.quality_reason({c: F.col(c) for c in ("entropy", "base64", "hex", "repeated", "score")}, F.lit("technical_text"))
+    return m.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("documents", sql="select doc_id, md5(case when length(text) > 400 then left(text, 200) || chr(10) || right(text, 200) else text end) as h from documents where text is not null")
+def quality_samples(d):
+    return d.filter("text is not null").select("doc_id", F.md5(quality.quality_sample(F.col("text"), 400)).alias("h"))
 
 
 # Deduplication

@@ -42,16 +42,14 @@ def _without_near(df: DataFrame, stages: DataFrame, id_col: str) -> DataFrame:
 
 
 def _without_twins(df: DataFrame, id_col: str) -> DataFrame:
-    t = T.normalize_source(F.col("text"))
-    base = df.select(id_col, "path", t.alias("t"))
-    base = base.select(id_col, "t", quality.clean_reason(F.col("t"), F.col("path")).alias("clean"))
-    clean = base.filter("clean = 'accepted'")
-    twins = dedup.two_level(clean, id_col, F.sha2("t", 256), F.sha2(T.normalize_for_dedup(F.col("t")), 256))
+    """One pass over the texts; what follows joins rows of two hashes."""
+    base = cut(quality.clean_profiles(df, id_col, "path", "text"))
+    twins = dedup.two_level(base.filter("clean = 'accepted'"), id_col, F.col("exact"), F.col("loose"))
     return base.join(twins, id_col, "left").select(
         id_col,
         F.coalesce(F.when(F.col("clean") != "accepted", F.col("clean")), "reason", F.lit("accepted")).alias("reason"),
         "duplicate_of",
-        F.octet_length("t").cast("bigint").alias("n_tokens"),
+        "n_tokens",
     )
 
 
