@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
-from corpuskit.operators import dedup, evalmetrics, htmltext, index, pysource, quality, reports, setsim, sft, splits, tokens, windows
+from corpuskit.operators import dedup, evalmetrics, htmltext, index, instructions, pysource, quality, reports, setsim, sft, splits, tokens, windows
 from corpuskit.plans import corpus
+from corpuskit.runtime import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -261,23 +262,26 @@ def near_duplicate_survivors(d):
     )
 
 
-@query("documents")
-def simhash_bands(d):
-    """Links of four 16-bit bands and at most three differing bits, between distinct texts; one row per text in place of copies."""
-    from corpuskit.runtime import cut, salted_join
+def _python(r):
+    return r.filter(pysource.is_python(F.col("path"), F.col("text")))
+
 
-    base = d.filter("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("id"), F.first("text").alias("text"))
-    h = cut(dedup.simhashes(base, "id", "text", 5))
-    bands = h.select("id", "sim", F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.shiftrightunsigned("sim", 16 * i).bitwiseAND(65535).alias("v")) for i in range(4)])).alias("b"))
-    keyed = bands.select("id", "sim", F.xxhash64("b.n", "b.v").alias("band"))
-    right = keyed.select("band", F.col("id").alias("y"), F.col("sim").alias("sim_y"))
-    near = salted_join(keyed.select("band", F.col("id").alias("x"), F.col("sim").alias("sim_x")), right, "band", "x", "y")
-    return near.filter("x < y").select("x", "y", F.bit_count(F.col("sim_x").bitwiseXOR(F.col("sim_y"))).alias("distance")).filter("distance <= 3").distinct()
+@query("code_records")
+def simhash_links(r):
+    """Links of an equal 16-bit band and at most three differing bits, between distinct texts; one row per text in place of copies."""
+    h = pysource.source_hashes(_python(r), ["record_id"])
+    first = h.groupBy("sha256").agg(F.min("record_id").alias("id"), F.first("simhash").alias("simhash"))
+    return pysource.simhash_links(cut(first), "id")
+
+
+@query("code_records")
+def python_index_duplicates(r):
+    return pysource.index_duplicates(pysource.source_hashes(_python(r), ["record_id"]), "record_id")
 
 
 @query("code_records")
 def global_duplicates(r):
-    py = r.filter(pysource.is_python(F.col("path")))
+    py = r.filter(pysource.is_python(F.col("path"), F.col("text")))
     return pysource.global_duplicates(pysource.fingerprints(py, ["record_id"]), "record_id")
 
 
@@ -663,8 +667,8 @@ def prompt_lengths(e):
 
 @query("code_records")
 def instruction_pairs(r):
-    py = r.filter(pysource.is_python(F.col("path")))
-    p = pysource.instruction_pairs(py, ["record_id"])
+    py = r.filter(pysource.is_python(F.col("path"), F.col("text")))
+    p = instructions.instruction_pairs(py, ["record_id"])
     p = p.withColumn("pair", sft.pair_hash(F.col("instruction"), F.col("input"), F.col("output")))
     return p.groupBy("pair").agg(F.min(F.struct("record_id", "symbol", "category")).alias("kept"), F.count(F.lit(1)).alias("n")).select("pair", "kept.*", "n")
 
@@ -674,19 +678,27 @@ def instruction_pairs(r):
 
 @query("code_records")
 def symbol_index(r):
-    py = r.filter(pysource.is_python(F.col("path")))
+    py = r.filter(pysource.is_python(F.col("path"), F.col("text")))
     return pysource.duplicate_symbols(pysource.definitions(py, ["record_id"]), "record_id")
 
 
 @query("code_records")
 def category_counts(r):
-    py = r.filter(pysource.is_python(F.col("path")))
-    return pysource.file_categories(py, ["record_id"]).groupBy("category").agg(F.count(F.lit(1)).alias("files"))
+    """Files per category, the most common first, and of how many it is the primary one."""
+    c = pysource.file_categories(_python(r).select("record_id", "path", "text"), ["record_id"])
+    return c.groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.count_if("is_primary").alias("primary_files")).orderBy(F.desc("files"), "category")
+
+
+@query("code_records")
+def capped_instruction_pairs(r):
+    """At most sixteen pairs a file, the best ranked of each category first; pairs per category."""
+    p = instructions.instruction_pairs(_python(r), ["record_id"], most=16)
+    return p.groupBy("category").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("record_id").alias("files"))
 
 
 @query("code_records")
 def undefined_name_counts(r):
-    py = r.filter(pysource.is_python(F.col("path")))
+    py = r.filter(pysource.is_python(F.col("path"), F.col("text")))
     return pysource.undefined_names(py, ["record_id"]).select("record_id", F.size("names").alias("undefined"))
 
 
@@ -701,9 +713,9 @@ def path_search(r):
 
 @query("code_records")
 def index_search(r):
-    py = r.filter(pysource.is_python(F.col("path")))
+    py = r.filter(pysource.is_python(F.col("path"), F.col("text")))
     found = index.search(
-        r.select("record_id", "path", "repo_name"), pysource.definitions(py, ["record_id"]), pysource.file_categories(py, ["record_id"]), "parse", "object_oriented"
+        r.select("record_id", "path", "repo_name"), pysource.definitions(py, ["record_id"]), pysource.file_categories(py, ["record_id"]), "parse", "OOP"
     )
     return found.select("record_id", "path", F.array_join("categories", ",").alias("categories"), F.array_join("symbols", ",").alias("symbols"))
 

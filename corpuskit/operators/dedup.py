@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.shingles import shingle_set
 from corpuskit.runtime import cut
 
 
@@ -98,24 +96,3 @@ def greedy_survivors(edges: DataFrame, nodes: DataFrame, id_col: str = "id", mos
     return nodes.select(id_col).join(by.withColumnRenamed("b", id_col), id_col, "left").select(
         id_col, F.col("duplicate_of").isNull().alias("accepted"), "duplicate_of"
     )
-
-
-def simhashes(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, sim): 64-bit SimHash of the k-word runs; bit i is set where set bits i of the runs' hashes outweigh. Shorter texts give no row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shifts = np.arange(64, dtype=np.uint64)
-        for b in batches:
-            out = []
-            for i, t in zip(b["id"], b["text"]):
-                s = shingle_set(t, k)
-                if len(s):
-                    weight = np.zeros(64, np.int64)
-                    for at in range(0, len(s), 4096):
-                        weight += ((s[at : at + 4096, None] >> shifts) & np.uint64(1)).astype(np.int64).sum(0)
-                    bits = (2 * weight >= len(s)).astype(np.uint64) << shifts
-                    out.append((i, int(np.bitwise_or.reduce(bits).astype(np.int64))))
-            yield pd.DataFrame(out, columns=["id", "sim"])
-
-    kept = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    return kept.mapInPandas(run, "id bigint, sim bigint")

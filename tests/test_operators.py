@@ -1,10 +1,11 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
-from corpuskit.operators import dedup, evalmetrics, htmltext, pysource, quality, sft, splits, tokens, windows
+from corpuskit.operators import dedup, evalmetrics, htmltext, instructions, pysource, quality, sft, splits, tokens, windows
 
 
 def one(spark, c, **values):
@@ -129,13 +130,12 @@ def test_quality_metrics(spark):
             assert got[i] == pytest.approx(want, abs=1e-9)
     rep = {x["id"]: x["repeated_share"] for x in quality.repeated_lines(df, "id", "text").collect()}
     assert rep == {1: 0.0, 2: 0.0, 4: 0.0, 5: 1.0}
-    assert one(spark, quality.repeated_line_share(F.col("t")), t="a\na\na\na\nb") == 0.8
     assert one(spark, quality.base64_share(F.col("t")), t="QUJD" * 30) == 1.0
 
 
 def test_python_operators(spark):
     src = 'import json\n\n\nclass A:\n    def f(self, x: int) -> int:\n        """Adds one to the number."""\n        # note\n        return x + 1\n\n\nasync def g():\n    return h\n'
-    df = spark.createDataFrame([(1, src), (2, "def broken(:"), (3, None), (4, src)], "id bigint, text string")
+    df = spark.createDataFrame([(1, src, "a/b.py"), (2, "def broken(:", None), (3, None, None), (4, src, None)], "id bigint, text string, path string")
     defs = {(r["id"], r["symbol"]): r for r in pysource.definitions(df, ["id"]).collect()}
     assert {k[1]: v["kind"] for k, v in defs.items()} == {"A": "class", "A.f": "method", "g": "async_function"}
     dup = pysource.duplicate_symbols(pysource.definitions(df, ["id"]), "id").collect()
@@ -143,19 +143,120 @@ def test_python_operators(spark):
     prints = {r["id"]: r for r in pysource.fingerprints(df, ["id"]).collect()}
     assert prints[2]["ast_sha256"] is None and prints[1]["ast_sha256"] == prints[4]["ast_sha256"]
     assert {r["id"]: r["reason"] for r in pysource.global_duplicates(pysource.fingerprints(df, ["id"]), "id").collect()} == {1: None, 2: None, 4: "exact_sha256_duplicate"}
-    pairs = pysource.instruction_pairs(df.filter("id = 1"), ["id"]).collect()
-    cats = {p["category"] for p in pairs if p["symbol"] == "A.f"}
-    assert {"code_generation", "documentation", "bug_fixing", "type_hints", "code_completion"} <= cats
     assert pysource.undefined_names(df.filter("id = 1"), ["id"]).first()["names"] == ["h"]
-    assert {r["category"] for r in pysource.file_categories(df.filter("id = 1"), ["id"]).collect()} == {"async", "object_oriented", "serialization"}
+    cats = pysource.file_categories(df.filter("id = 1"), ["id"]).collect()
+    assert {r["category"]: r["is_primary"] for r in cats} == {"OOP": True, "Standard Library": False}
     assert pysource.strip_comments("x = '# no'  # yes\n").strip() == "x = '# no'"
 
 
+def test_global_duplicates_follow_the_sequential_rule(spark):
+    """Keys overlap without being nested; only accepted rows own theirs."""
+    r = random.Random(3)
+    for _ in range(3):
+        rows = [(i, f"s{r.randrange(25)}") for i in range(40)]
+        keys = {s: (f"n{r.randrange(14)}", f"t{r.randrange(14)}" if r.random() < 0.9 else None) for s in {s for _, s in rows}}
+        seen, want = {}, {}
+        for i, s in rows:
+            own = [("exact_sha256_duplicate", ("s", s)), ("normalized_duplicate", ("n", keys[s][0])), ("ast_duplicate", ("t", keys[s][1]))]
+            hit = next(((name, seen[k]) for name, k in own if k[1] is not None and k in seen), None)
+            want[i] = hit or (None, None)
+            if hit is None:
+                seen |= {k: i for _, k in own if k[1] is not None}
+        df = spark.createDataFrame([(i, s, *keys[s]) for i, s in rows], "id bigint, sha256 string, normalized_sha256 string, ast_sha256 string")
+        assert {x["id"]: (x["reason"], x["duplicate_of"]) for x in pysource.global_duplicates(df, "id").collect()} == want
+
+
+SOURCES = """
+import json
+import numpy as np
+
+
+class Store(dict):
+    size: int = 0
+
+    def find_rows(self, rows: list, *, least=0) -> list:
+        \"\"\"Find the rows that count.\"\"\"
+        out = []
+        for r in rows:
+            if r > least:
+                out.append(r)
+        return out
+
+
+def save(path, x):
+    try:
+        with open(path, "w") as f:
+            json.dump(x, f)
+    except OSError:
+        raise
+
+
+def fact(n):
+    return 1 if n in (0, 1) else n * fact(n - 1)
+
+
+def test_fact():
+    assert fact(3) == 6
+"""
+
+
+def test_instruction_pairs(spark):
+    df = spark.createDataFrame([(1, SOURCES), (2, "def broken(:"), (3, None)], "id bigint, text string")
+    got = {(p["symbol"], p["category"]): p for p in instructions.instruction_pairs(df, ["id"]).collect()}
+    assert {c for _, c in got} == set(instructions.CATEGORIES)
+    p = lambda s, c: got[s, c]
+    assert "out = [r for r in rows if r > least]" not in p("Store.find_rows", "optimization")["output"]
+    assert "return [r for r in rows if r > least]" in p("Store.find_rows", "optimization")["output"]
+    assert "if r <= least" in p("Store.find_rows", "bug_fixing")["input"] and "not in" in p("fact", "bug_fixing")["input"]
+    assert p("Store.find_rows", "documentation")["output"] == "Find the rows that count." and '"""' not in p("Store.find_rows", "documentation")["input"]
+    assert p("save", "api_usage")["input"] == "import json" and "`json`" in p("save", "api_usage")["instruction"]
+    assert ("test_fact", "unit_testing") in got and ("fact", "unit_testing") not in got
+    assert "O(n)" in p("Store.find_rows", "complexity_analysis")["output"] and "calls itself" in p("fact", "complexity_analysis")["output"]
+    assert p("Store.find_rows", "type_hints")["input"].startswith("def find_rows(self, rows, *, least=0):")
+    assert p("save", "code_completion")["input"] == "def save(path, x):\n    ..."
+    capped = instructions.instruction_pairs(df, ["id"], most=12).collect()
+    assert len(capped) == 12 and {c["category"] for c in capped} == set(instructions.CATEGORIES)
+    assert instructions.action("__len__") == "report the number of contained values" and instructions.action("loadHTTPRows_now") == "load httprows now"
+    with pytest.raises(ValueError):
+        instructions.check_templates({"explanation": "{nope}"})
+
+
+def test_file_categories():
+    cats = pysource.categories_of(SOURCES, "pkg/find_queue.py")
+    assert cats == ["OOP", "Data Structures", "File Handling", "Exception Handling", "Standard Library", "NumPy"]
+    assert pysource.categories_of("x = 1", "a.py") == ["Core Python"] and pysource.categories_of("x = 1", "a\\tests\\b.py") == ["Pytest"]
+    assert pysource.normalized_name("readBinaryTree-x") == "read_binary_tree_x"
+
+
+def test_simhash_over_token_classes(spark):
+    renamed = SOURCES.replace("find_rows", "pick").replace("rows", "items").replace('"w"', '"a"')
+    assert pysource.token_simhash(SOURCES) == pysource.token_simhash(renamed)
+    slow = [0] * 64
+    tokens = pysource.token_classes(SOURCES)
+    for i in range(max(1, len(tokens) - 4)):
+        h = int.from_bytes(hashlib.blake2b("\x1f".join(tokens[i : i + 5]).encode(), digest_size=8).digest(), "big")
+        slow = [w + (1 if h >> b & 1 else -1) for b, w in enumerate(slow)]
+    assert pysource.token_simhash(SOURCES) % 2**64 == sum(1 << b for b, w in enumerate(slow) if w >= 0)
+    for odd in ("", "x = (", "'"):
+        pysource.token_simhash(odd)
+    other = "\n".join(f"def f{i}(a):\n    return a[{i}] if a else {{'k': -a, 's': {i}}}" for i in range(9))
+    rows = [(5, SOURCES), (6, renamed), (7, SOURCES + "\n# more\n"), (8, other), (9, SOURCES), (10, "def broken(:")]
+    hashes = pysource.source_hashes(spark.createDataFrame(rows, "id bigint, text string"), ["id"])
+    got = {r["id"]: (r["reason"], r["duplicate_of"]) for r in pysource.index_duplicates(hashes, "id").collect()}
+    assert got == {5: (None, None), 6: ("near_duplicate", 5), 7: ("normalized_duplicate", 5), 8: (None, None), 9: (None, None)}
+    assert {(r["a"], r["b"]) for r in pysource.simhash_links(spark.createDataFrame([(1, 0b111), (2, 0), (3, -1)], "id bigint, simhash bigint"), "id").collect()} == {(1, 2)}
+
+
 def test_html_text(spark):
-    page = "<html><body><nav>Menu<br>x</nav><h2>Title</h2><p>A &amp; b</p><pre>x = 1\ny</pre><table><tr><td>c1</td></tr></table><script>no()</script></body></html>"
+    page = '<html><body><nav>Menu<i>x</i></nav><h2>Title</h2><p>A &amp; b</p><pre>x = 1\n  y</pre><table><tr><td>c1</td></tr></table><script>no()</script><div class="my-Sidebar"><p>side</p></div><p>end</p></body></html>'
     got = one(spark, htmltext.documentation_text(F.col("t")), t=page)
-    assert "## Title" in got and "A & b" in got and "```\nx = 1\ny\n```" in got and "c1" in got and "no()" not in got and "Menu" not in got
-    assert one(spark, htmltext.documentation_text(F.col("t")), t="Next »\n\n\n\n<b>x</b> y\n```\n<b>\n```") == "x y\n```\n<b>\n```\n"
+    assert "## Title" in got and "A & b" in got and "```\nx = 1\n  y\n```" in got and "c1" in got and "end" in got
+    assert not any(x in got for x in ("no()", "Menu", "side"))
+    assert "lost" not in htmltext.read_html("<nav>a<br>b</nav><p>lost</p>")  # an element without an end tag keeps its region open
+    assert one(spark, htmltext.documentation_text(F.col("t")), t="Next\n\n\n\n<b>x</b>  y\n```\n<b>\nNext\n```\n    Next") == "x y\n```\n<b>\nNext\n```\n    Next\n"
+    rst = "Title\n\n.. toctree::\n   :maxdepth: 2\n   a/b\n\nText here.\n```\n.. toctree::\n```\n* index of all"
+    assert htmltext.clean_documentation(rst) == "Title\n\nText here.\n```\n.. toctree::\n```\n"
+    assert one(spark, htmltext.documentation_text(F.col("t")), t="") == "\n"
 
 
 def test_instruction_records(spark):
