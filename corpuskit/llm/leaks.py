@@ -114,11 +114,13 @@ def item_texts(items: DataFrame, item_id: str, fields: tuple[str, ...]) -> tuple
                 words = passage_words(text)
                 if len(words) >= LEAST:
                     rows.append((i, xxhash.xxh3_128_hexdigest("\0".join(words)), word_hashes(words).tobytes()))
-            yield pd.DataFrame(rows, columns=["item", "text_id", "words"])
+            yield pd.DataFrame(rows, columns=["item", "digest", "words"])
 
     given = items.select(F.col(item_id).alias("item"), F.explode(F.array(*[F.col(f) for f in fields])).alias("text"))
-    every = cut(given.filter("item is not null and text is not null").mapInPandas(run, "item bigint, text_id string, words binary"))
-    return every.select("text_id", "item").distinct(), every.select("text_id", "words").dropDuplicates(["text_id"])
+    every = cut(given.filter("item is not null and text is not null").mapInPandas(run, "item bigint, digest string, words binary"))
+    # Short numbers in place of digests: they go along with every hit. They are given once, before the cut.
+    texts = cut(every.select("digest", "words").dropDuplicates(["digest"]).withColumn("text_id", F.monotonically_increasing_id()))
+    return every.select("digest", "item").distinct().join(texts.select("digest", "text_id"), "digest").select("text_id", "item"), texts.select("text_id", "words")
 
 
 def text_seeds(texts: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def text_seeds(texts: DataFrame) -> DataFrame:
                     h = seeds(a, mask).view(np.int64)
                     yield pd.DataFrame({"seed": h, "text_id": t, "q": np.arange(len(h), dtype=np.int32), "mask": np.int32(k)})
 
-    return texts.mapInPandas(run, "seed bigint, text_id string, q int, mask int")
+    return texts.mapInPandas(run, "seed bigint, text_id bigint, q int, mask int")
 
 
 #: A Bloom filter has 2**LEAST_BITS to 2**MOST_BITS bits (32 MB), 32 or more a seed as far as that allows; a fuller one only lets more seeds through.
@@ -266,7 +268,7 @@ def leaks(
     each = marked.select("id", F.explode(F.arrays_zip("seeds", "places", "masks")).alias("s")).select("id", F.col("s.seeds").alias("seed"), F.col("s.places").alias("p"), F.col("s.masks").alias("mask"))
     hits = cut(salted_join(each, known.withColumnRenamed("mask", "m"), "seed", "id", "text_id", both=True).filter("mask = m").select("id", "text_id", "p", "q", "mask").distinct())
     pairs = cut(hits.groupBy("id", "text_id").agg(F.count_if(F.col("mask") == 0).alias("n")).filter("n > 1").select("id", "text_id"))
-    heads = marked.select("id", "words").join(pairs.select("id").distinct(), "id", "left_semi").select("id", F.lit("").alias("text_id"), F.lit(0).alias("kind"), "words", F.lit(0).alias("p"), F.lit(0).alias("q"))
+    heads = marked.select("id", "words").join(pairs.select("id").distinct(), "id", "left_semi").select("id", F.lit(-1).cast("bigint").alias("text_id"), F.lit(0).alias("kind"), "words", F.lit(0).alias("p"), F.lit(0).alias("q"))
     bodies = pairs.join(texts, "text_id").select("id", "text_id", F.lit(1).alias("kind"), "words", F.lit(0).alias("p"), F.lit(0).alias("q"))
     places = hits.join(pairs, ["id", "text_id"], "left_semi").select("id", "text_id", F.lit(2).alias("kind"), F.lit(b"").alias("words"), "p", "q")
     checked = (
@@ -274,7 +276,7 @@ def leaks(
         .union(places.distinct())
         .repartition(parts, "id")
         .sortWithinPartitions("id", "text_id", "kind", F.col("q") - F.col("p"), "p")
-        .mapInPandas(verify, "id bigint, text_id string")
+        .mapInPandas(verify, "id bigint, text_id bigint")
     )
     return checked.join(owners, "text_id").select(F.col("id").alias(doc_id), F.col("item").alias(item_id)).distinct()
 
