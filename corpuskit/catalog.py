@@ -48,6 +48,13 @@ _MINIFIED = (
 )
 
 
+_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+(?:''[\p{L}\p{M}\p{N}]+)*|[^\s\x0B\x{1c}-\x{1f}\p{Z}\x{85}\p{L}\p{M}\p{N}]')"
+_VOCABULARY = f"""t as (select unnest({_TOKENS}) as token from documents), n as (select token, count(*) as frequency from t group by 1 having count(*) >= 2),
+    v as (select token, row_number() over (order by frequency desc, token) + 4 as token_id from n qualify row_number() over (order by frequency desc, token) <= 1995)"""
+_IDS = f"""{_VOCABULARY}, w as (select doc_id, {_TOKENS} as a from documents where text is not null),
+    p as (select doc_id, unnest(a) as token, generate_subscripts(a, 1) as pos from w), e as (select doc_id, list(coalesce(token_id, 1)::int order by pos) as ids from p left join v using (token) group by 1)"""
+
+
 def _contains(c: str, needles) -> str:
     return "(" + " or ".join(f"contains({c}, '{n}')" for n in needles) + ")"
 
@@ -464,16 +471,62 @@ def largest_records(r):
     return r.filter("text is not null").select("record_id", F.octet_length("text").cast("bigint").alias("n")).orderBy(F.desc("n"), "record_id").limit(10)
 
 
-@query("code_records")
+@query(
+    "code_records",
+    sql="""with recursive t as (select record_id, octet_length(encode(text)) as n, row_number() over (order by record_id) as k from code_records where text is not null),
+    f as (select k, record_id, n, 0::bigint as shard, 0::bigint as "offset" from t where k = 1 union all
+        select t.k, t.record_id, t.n, case when f."offset" + f.n + t.n > 20000 then f.shard + 1 else f.shard end,
+            case when f."offset" + f.n + t.n > 20000 then 0 else f."offset" + f.n end from f join t on t.k = f.k + 1)
+    select record_id, n, shard, "offset" from f""",
+)
 def next_fit_shards(r):
     t = r.filter("text is not null").select("record_id", F.octet_length("text").cast("bigint").alias("n"))
-    return windows.next_fit_shards(t, "record_id", "n", 1_000_000)
+    return windows.next_fit_shards(t, "record_id", "n", 20_000)
 
 
-@query("documents")
+def _encoded(d):
+    return tokens.encode(d, tokens.vocabulary(d, "doc_id", "text", 2000), "doc_id", "text")
+
+
+_WINDOW_IDS = """s as (select doc_id, ids, unnest(case when len(ids) > 128 then range(0, len(ids) - 128, 128) when len(ids) > 1 then [0] else [] end) as "start" from e)"""
+
+
+@query(
+    "documents",
+    sql=f"""with {_IDS}, {_WINDOW_IDS}
+    select doc_id, "start", least(128, len(ids) - 1 - "start") as tokens, md5(array_to_string(ids["start" + 1:least("start" + 128, len(ids) - 1)], ' ')) as inputs,
+        md5(array_to_string(ids["start" + 2:"start" + 129], ' ')) as targets from s""",
+)
 def sliding_windows(d):
-    ids = d.filter("text is not null").select("doc_id", F.transform(T.tokens(F.lower("text")), lambda x: F.pmod(F.xxhash64(x), F.lit(32_000)).cast("int")).alias("ids"))
-    return windows.sliding_windows(ids, "ids", 128, 128)
+    """Windows of 128 ids and their targets; short texts as one window, of which the own ids are compared."""
+    w = windows.sliding_windows(_encoded(d), "ids", 128, 128, "pad")
+    part = lambda c: F.md5(F.array_join(F.slice(c, 1, F.col("tokens")), " "))
+    return w.select("doc_id", "start", F.col("tokens").cast("bigint").alias("tokens"), part("inputs").alias("inputs"), part("targets").alias("targets"))
+
+
+@query(
+    "documents",
+    sql=f"""with {_IDS}, x as (select doc_id, unnest(list_concat(ids, [3])) as i, generate_subscripts(list_concat(ids, [3]), 1) as pos from e),
+    o as (select doc_id, i, pos, row_number() over (order by doc_id, pos) - 1 as k from x)
+    select k // 1025 as sequence, count(*) as tokens, count(distinct doc_id) as documents, md5(string_agg(i::varchar, ' ' order by k) || repeat(' 0', (1025 - count(*))::int)) as ids from o group by 1""",
+)
+def packed_sequences(d):
+    """All texts with an end token as sequences of 1,025 ids, the last one padded."""
+    e = _encoded(d).select("doc_id", tokens.bounded(F.col("ids"), False, True).alias("ids"))
+    s = windows.packed_sequences(e, "doc_id", "doc_id", "ids", 1025, pad_final=True)
+    return s.select("sequence", F.col("tokens").cast("bigint").alias("tokens"), F.size(F.array_distinct("documents.id")).cast("bigint").alias("documents"), F.md5(F.array_join("ids", " ")).alias("ids"))
+
+
+@query(
+    "code_records",
+    sql="""with t as (select sum(octet_length(encode(text)) + 1)::bigint as n from code_records where text is not null), s as (select unnest(range(0, n // 1025)) as sequence from t)
+    select sequence // 9 as shard, count(*) as sequences, count(*) * 1025 as tokens, count(*) * 2050 as bytes, min(sequence) as first_sequence from s group by 1""",
+)
+def packed_shard_index(r):
+    """Shards of at most 10,000 bytes' tokens over the whole sequences of all texts."""
+    t = r.filter("text is not null").select("record_id", (F.octet_length("text") + 1).cast("bigint").alias("n"))
+    spans = windows.sequence_spans(t, "record_id", "record_id", "n", 1025).groupBy("sequence").agg(F.max("end").alias("n")).filter("n = 1025")
+    return windows.shard_index(windows.in_shards(spans, 1025, 10_000), 1025)
 
 
 # Splits
@@ -501,8 +554,6 @@ def split_leakage(r):
 
 # Tokens
 
-_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+(?:''[\p{L}\p{M}\p{N}]+)*|[^\s\x0B\x{1c}-\x{1f}\p{Z}\x{85}\p{L}\p{M}\p{N}]')"
-
 
 @query("documents", sql=f"select doc_id, len({_TOKENS}) as n, len(list_distinct({_TOKENS})) as distinct_tokens from documents where text is not null")
 def token_counts(d):
@@ -520,10 +571,6 @@ def vocabulary(d):
     return tokens.vocabulary(d, "doc_id", "text", 2000)
 
 
-_VOCABULARY = f"""t as (select unnest({_TOKENS}) as token from documents), n as (select token, count(*) as frequency from t group by 1 having count(*) >= 2),
-    v as (select token, row_number() over (order by frequency desc, token) + 4 as token_id from n qualify row_number() over (order by frequency desc, token) <= 1995)"""
-
-
 @query(
     "documents",
     sql=f"""with {_VOCABULARY}, w as (select doc_id, {_TOKENS} as a from documents where text is not null),
@@ -537,8 +584,8 @@ def encoded(d):
 
 @query("documents", sql=f"with w as (select doc_id, {_TOKENS} as a from documents where text is not null) select doc_id, md5(array_to_string(a, ' ')) as tokens from w where len(a) > 0")
 def round_trip(d):
-    """Texts encoded with the full vocabulary and decoded again."""
-    v = tokens.vocabulary(d, "doc_id", "text", 1_000_000, 1)
+    """Texts encoded with the full vocabulary, of any size, and decoded again."""
+    v = tokens.full_vocabulary(d, "doc_id", "text")
     back = tokens.decode(tokens.encode(d, v, "doc_id", "text"), v, "doc_id", "ids")
     return back.select("doc_id", F.md5(F.array_join("tokens", " ")).alias("tokens"))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
+from corpuskit.operators.windows import running_offsets
+from corpuskit.runtime import cut
 
 SPECIALS = ("<PAD>", "<UNK>", "<BOS>", "<EOS>", "<NL>")
 
@@ -35,37 +40,81 @@ def vocabulary(df: DataFrame, id_col: str, text_col: str, size: int, minimum: in
     return top.select((F.row_number().over(w) - 1 + len(SPECIALS)).alias("token_id"), "token", "frequency")
 
 
-def encode(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ids array<int>): tokens outside the vocabulary become <UNK>. The vocabulary's size is bounded by its setting."""
-    rows = token_rows(df, id_col, text_col).join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
+def full_vocabulary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(token_id, token, frequency) of all tokens, however many: ids are consecutive within blocks of a hash, and no task sees them all."""
+    f = frequencies(df, id_col, text_col)
+    blocks = F.pmod(F.xxhash64("token"), F.lit(4096)).cast("bigint")
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("token")).cast("bigint")
+    return f.withColumn("_b", blocks).select((F.lit(len(SPECIALS)) + (place - 1) * 4096 + F.col("_b")).alias("token_id"), "token", "frequency")
+
+
+#: A vocabulary of at most so many tokens goes to the tasks as a table; a larger one is joined.
+TABLE_TOKENS = 500_000
+
+
+def _words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.filter(F.col(text_col).isNotNull()).select(id_col, T.tokens(F.lower(text_col)).alias("_words"))
+
+
+def _mapped(df: DataFrame, id_col: str, column: str, table: dict, out: str, kind: str, missing) -> DataFrame:
+    """Arrays mapped through a table that each task holds once; nothing is shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for b in batches:
+            yield pd.DataFrame({id_col: b[id_col], out: [[known.get(x, missing) for x in a] for a in b[column]]})
+
+    kept = df.select(id_col, column).filter(F.size(column) > 0)
+    return kept.mapInPandas(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, {out} array<{kind}>")
+
+
+def encode(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, most: int = TABLE_TOKENS) -> DataFrame:
+    """(id, ids array): tokens outside the vocabulary become <UNK>; texts without tokens give no row.
+
+    A vocabulary of at most ``most`` tokens is a table in each task; a larger
+    one is joined to the tokens, which are gathered again by position.
+    """
+    vocab = cut(vocab.select("token", "token_id"))
+    kind = vocab.schema["token_id"].dataType.simpleString()
+    if vocab.count() <= most:
+        table = {r["token"]: r["token_id"] for r in vocab.toLocalIterator()}  # bounded by the count above
+        return _mapped(_words(df, id_col, text_col), id_col, "_words", table, "ids", kind, 1)
+    rows = token_rows(df, id_col, text_col).join(vocab, "token", "left")
     pairs = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(1)).alias("token_id"))))
     return rows.groupBy(id_col).agg(F.transform(pairs, lambda p: p["token_id"]).alias("ids"))
 
 
 def token_statistics(df: DataFrame, count_col: str) -> DataFrame:
-    """One row: total, mean, median, 95th percentile by rank, least, most."""
-    # Percentile by rank: the value whose 0-based rank is round((n - 1) * p), half to even.
+    """One row: documents, total, mean, median, 95th percentile by rank, least, most.
+
+    The percentile is the value whose 0-based rank is round((n - 1) * 0.95),
+    half to even. Values are counted first; then only counts of the distinct
+    values are added up, in ranges, so that no task sorts them all.
+    """
     n = df.count()
-    rank = round((n - 1) * 0.95)
-    per_value = df.groupBy(F.col(count_col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v"))  # one row per distinct count
-    p95 = per_value.withColumn("upto", upto).filter(F.col("upto") > rank).agg(F.min("v").alias("p95"))
-    return df.agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.sum(count_col).alias("total"),
-        F.avg(count_col).alias("mean"),
-        F.floor(F.median(count_col)).cast("bigint").alias("median"),
-        F.min(count_col).alias("least"),
-        F.max(count_col).alias("most"),
-    ).join(F.broadcast(p95))  # one row
-
-
-def decode(df: DataFrame, vocab: DataFrame, id_col: str, ids: str) -> DataFrame:
+    per_value = df.filter(F.col(count_col).isNotNull()).groupBy(F.col(count_col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    before = running_offsets(per_value, "v", "c", "_before")
+
+    def at(rank: int) -> Column:
+        return F.max(F.when((F.col("_before") <= rank) & (F.col("_before") + F.col("c") > rank), F.col("v")))
+
+    ranks = before.agg(at(round((n - 1) * 0.95)).alias("p95"), at((n - 1) // 2).alias("_low"), at(n // 2).alias("_high"))
+    one = df.agg(F.count(F.lit(1)).alias("documents"), F.sum(count_col).alias("total"), F.avg(count_col).alias("mean"), F.min(count_col).alias("least"), F.max(count_col).alias("most"))
+    both = one.join(F.broadcast(ranks))  # one row each
+    return both.select("documents", "total", "mean", F.floor((F.col("_low") + F.col("_high")) / 2).cast("bigint").alias("median"), "least", "most", "p95")
+
+
+def decode(df: DataFrame, vocab: DataFrame, id_col: str, ids: str, most: int = TABLE_TOKENS) -> DataFrame:
     """(id, tokens array<string>): the tokens of the ids in order; ids outside the vocabulary become <UNK>, specials their names."""
+    vocab = cut(vocab.select("token", "token_id"))
+    if vocab.count() <= most:
+        table = dict(enumerate(SPECIALS)) | {r["token_id"]: r["token"] for r in vocab.toLocalIterator()}  # bounded by the count above
+        return _mapped(df, id_col, ids, table, "tokens", "string", SPECIALS[1])
     names = F.array(*[F.lit(s) for s in SPECIALS])
-    rows = df.select(id_col, F.posexplode(ids).alias("pos", "token_id")).join(F.broadcast(vocab.select("token_id", "token")), "token_id", "left")
+    rows = df.select(id_col, F.posexplode(ids).alias("pos", "token_id")).join(vocab, "token_id", "left")
     special = F.when(F.col("token_id").between(0, len(SPECIALS) - 1), F.get(names, F.col("token_id").cast("int")))
-    pairs = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", special, F.lit("<UNK>")).alias("token"))))
+    pairs = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", special, F.lit(SPECIALS[1])).alias("token"))))
     return rows.groupBy(id_col).agg(F.transform(pairs, lambda p: p["token"]).alias("tokens"))
 
 
