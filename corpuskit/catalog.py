@@ -108,16 +108,16 @@ def composite_hash(e):
 # Filters
 
 
-@query(
-    "code_records",
-    sql=f"""with t as (select record_id, coalesce(path, '') as path, {_NORM_TEXT} as t from code_records)
-    select record_id, case
+#: The cleaner's verdict over columns t (normalized) and path.
+_CLEAN = f"""case
         when octet_length(encode(t)) < 80 then 'too_short' when octet_length(encode(t)) > 2000000 then 'too_large'
         when {_contains('lower(path)', quality.GENERATED_NAMES)} then 'generated_file' when t is null then 'invalid_utf8'
         when trim(regexp_replace(t, '\\s+', '', 'g')) = '' then 'empty_file'
         when {_contains("lower(array_to_string(string_split(t, chr(10))[1:10], chr(10)))", quality.GENERATED_MARKERS)} then 'generated_file'
-        when {_MINIFIED.format('t')} then 'minified_file' else 'accepted' end as reason from t""",
-)
+        when {_MINIFIED.format('t')} then 'minified_file' else 'accepted' end"""
+
+
+@query("code_records", sql=f"with t as (select record_id, coalesce(path, '') as path, {_NORM_TEXT} as t from code_records) select record_id, {_CLEAN} as reason from t")
 def clean_reasons(r):
     t = T.normalize_source(F.col("text"))
     return r.select("record_id", t.alias("t"), "path").select("record_id", quality.clean_reason(F.col("t"), F.col("path")).alias("reason"))
@@ -537,7 +537,14 @@ def hash_split(d):
     return d.filter("text is not null").select("doc_id", T.hash_split(F.sha2("text", 256), 5).alias("split"))
 
 
-@query("code_records")
+_GROUPS = """with g as (select distinct coalesce(lower(trim(repo_name)), '') as g from code_records), r as (select g, row_number() over (order by sha256('42' || chr(0) || g), g) - 1 as k from g),
+    n as (select count(*) as n from g), x as (select * from (values ('train', 0.9::double, 1), ('validation', 0.05::double, 2), ('test', 0.05::double, 3)) t(s, ratio, i)),
+    b as (select s, ratio, i, n, n * ratio as exact, floor(n * ratio)::bigint as c from x, n),
+    a as (select s, i, c + case when row_number() over (order by exact - c desc, ratio desc, i) <= n - sum(c) over () then 1 else 0 end as c from b),
+    e as (select s, i, coalesce(sum(c) over (order by i rows between unbounded preceding and 1 preceding), 0) as low, sum(c) over (order by i) as high from a)"""
+
+
+@query("code_records", sql=f"{_GROUPS} select record_id, lower(trim(repo_name)) as repo, s as split from code_records join r on coalesce(lower(trim(repo_name)), '') = g join e on k >= low and k < high")
 def group_split(r):
     r = r.withColumn("repo", F.lower(F.trim("repo_name")))
     return splits.group_split(r, "repo", {"train": 0.9, "validation": 0.05, "test": 0.05}).select("record_id", "repo", F.col("assigned").alias("split"))
@@ -601,26 +608,43 @@ def character_tokens(e):
     return c.select("item_id", F.size("c").cast("bigint").alias("n"), F.size(F.filter("c", lambda x: x == "<NL>")).cast("bigint").alias("newlines"))
 
 
-@query("eval_items")
+_MASKED = f"""t as (select unnest(regexp_extract_all(lower(prompt), {_TOKENS.split(', ', 1)[1][:-1]})) as token from eval_items), n as (select token, count(*) as frequency from t group by 1 having count(*) >= 2),
+    v as (select token, row_number() over (order by frequency desc, token) + 4 as token_id from n qualify row_number() over (order by frequency desc, token) <= 1995),
+    w as (select item_id, c, regexp_extract_all(lower(coalesce(x, '')), {_TOKENS.split(', ', 1)[1][:-1]}) as a from (select item_id, 'p' as c, prompt as x from eval_items union all select item_id, 'a', answer from eval_items)),
+    u as (select item_id, c, unnest(a) as token, generate_subscripts(a, 1) as pos from w), e as (select item_id, c, list(coalesce(token_id, 1)::int order by pos) as ids from u left join v using (token) group by 1, 2),
+    b as (select item_id, coalesce(max(ids) filter (c = 'p'), []) as p, coalesce(max(ids) filter (c = 'a'), []) as a from eval_items left join e using (item_id) group by 1),
+    f as (select item_id, len(p) as m, list_concat([2], p, a, [3]) as h from b), g as (select item_id, case when len(h) > 257 then list_concat(h[1:256], [3]) else h end as h, m from f),
+    k as (select item_id, h[1:len(h) - 1] as i, list_concat(list_transform(range(least(m, len(h) - 1)), lambda z: -100), h[least(m, len(h) - 1) + 2:257]) as l from g)"""
+
+
+@query(
+    "eval_items",
+    sql=f"""with {_MASKED} select item_id, md5(array_to_string(list_concat(i, list_transform(range(256 - len(i)), lambda z: 0)), ' ')) as inputs,
+        md5(array_to_string(list_concat(l, list_transform(range(256 - len(l)), lambda z: -100)), ' ')) as labels from k""",
+)
 def masked_examples(e):
-    ids = lambda c: F.transform(T.tokens(F.lower(F.coalesce(F.col(c), F.lit("")))), lambda x: (F.pmod(F.xxhash64(x), F.lit(30_000)) + 5).cast("int"))
-    inputs, labels = tokens.masked_example(ids("prompt"), ids("answer"), 256)
-    return e.select("item_id", inputs.alias("inputs"), labels.alias("labels"))
+    """Prompt and answer as ids of the prompts' vocabulary, with the prompt's labels ignored."""
+    v = cut(tokens.vocabulary(e, "item_id", "prompt", 2000))
+    of = lambda c, name: tokens.encode(e, v, "item_id", c).withColumnRenamed("ids", name)
+    j = e.select("item_id").join(of("prompt", "p"), "item_id", "left").join(of("answer", "a"), "item_id", "left")
+    none = F.array().cast("array<int>")
+    inputs, labels = tokens.masked_example(F.coalesce("p", none), F.coalesce("a", none), 256)
+    return j.select("item_id", F.md5(F.array_join(inputs, " ")).alias("inputs"), F.md5(F.array_join(labels, " ")).alias("labels"))
 
 
 # Evaluation
 
 
-@query(
-    "eval_items",
-    sql="""with t as (select item_id, lower(regexp_replace(coalesce(answer, ''), '\\s+', ' ', 'g')) as a,
+_CHECKS = """with t as (select item_id, lower(regexp_replace(coalesce(answer, ''), '\\s+', ' ', 'g')) as a,
         coalesce(check_rules.required_terms, []) as terms, coalesce(check_rules.required_any, []) as anys from eval_items),
     v as (select item_id, len(list_filter(terms, lambda k: not contains(a, lower(k)))) = 0 as terms_ok,
         len(list_filter(anys, lambda g: len(list_filter(g, lambda k: contains(a, lower(k)))) = 0)) = 0 as any_ok from t)
-    select item_id, terms_ok, any_ok, terms_ok and any_ok as passed from v""",
-)
+    select item_id, terms_ok, any_ok, terms_ok and any_ok as passed from v"""
+
+
+@query("eval_items", sql=_CHECKS)
 def answer_checks(e):
-    return evalmetrics.answer_checks(e)
+    return evalmetrics.answer_checks(e, syntax=False).select("item_id", "terms_ok", "any_ok", "passed")
 
 
 @query(
@@ -670,11 +694,12 @@ def hourly_events(e):
 @query(
     "embeddings",
     sql="""with x as (select label, unnest(embedding)::double as x, sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))) as norm from embeddings)
-    select label, count(*) as components, round(min(x), 6) as least, round(max(x), 6) as most, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as deviation, round(avg(norm), 6) as mean_norm from x group by 1""",
+    select label, count(*) as components, round(min(x), 6) as least, round(max(x), 6) as most, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as deviation, round(avg(norm), 6) as mean_norm,
+        round(sqrt(sum(x * x)), 6) as l2, count(*) // 64 as vectors, count(*) filter (norm = 0) // 64 as zero_vectors from x group by 1""",
 )
 def embedding_statistics(e):
     s = evalmetrics.embedding_statistics(e, "embedding", "label")
-    return s.select("label", "components", *[F.round(c, 6).alias(c) for c in ("least", "most", "mean", "deviation", "mean_norm")])
+    return s.select("label", "components", "vectors", "zero_vectors", *[F.round(c, 6).alias(c) for c in ("least", "most", "mean", "deviation", "mean_norm", "l2")])
 
 
 @query(
@@ -782,11 +807,10 @@ def manifest_states(m, r):
 
 @query(
     "repositories",
-    "mix_targets",
     sql="""select source_id, approval from repositories where source_id not in (select source_id from repositories where approval is null)
         union all select source_id, 'pending' from repositories where approval is null""",
 )
-def repository_upsert(p, _):
+def repository_upsert(p):
     pending = p.filter("approval is null").select("source_id", F.lit("pending").alias("approval"))
     return index.upsert(p.select("source_id", "approval"), pending, "source_id")
 
@@ -820,6 +844,18 @@ def corpus_sequences(r):
     return corpus.build(r, 1025)[1]
 
 
+@query(
+    "code_records",
+    sql=f"""with {_BUILD}, t as (select record_id, n_tokens + 1 as n from b where reason = 'accepted'),
+    o as (select record_id, n, coalesce(sum(n) over (order by record_id rows between unbounded preceding and 1 preceding), 0)::bigint as pos from t),
+    s as (select record_id, n, pos, unnest(range(pos // 1025, (pos + n - 1) // 1025 + 1)) as sequence from o)
+    select sequence, record_id, greatest(pos, sequence * 1025) - sequence * 1025 as "start", least(pos + n, (sequence + 1) * 1025) - sequence * 1025 as "end", greatest(pos, sequence * 1025) - pos as from_token from s""",
+)
+def build_sequences(r):
+    """Sequences of the build without the near-duplicate step."""
+    return corpus.build(r, 1025, near=False)[1]
+
+
 #: The flagship: reasons of the corpus build and their counts, without the near-duplicate step as its SQL has it.
 @query("code_records", sql=f"with {_BUILD} select reason, count(*) as records, sum(n_tokens)::bigint as tokens from b group by 1")
 def build_report(r):

@@ -146,3 +146,50 @@ def hash_bucket(h: Column, buckets: int = 10_000) -> Column:
 
 def hash_split(h: Column, validation_percent: float = 2) -> Column:
     return F.when(hash_bucket(h) < int(validation_percent * 100), "validation").otherwise("train")
+
+
+def builder_text(t: Column) -> Column:
+    """LF line ends, no blanks at line ends, none around the text, one line feed at the end."""
+    t = F.regexp_replace(F.regexp_replace(t, "\r\n?", "\n"), r"(?U)[\s\x1c-\x1f&&[^\n]]+(?=\n|\z)", "")
+    return F.concat(F.regexp_replace(t, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""), F.lit("\n"))
+
+
+#: Typographic quotes and dashes and their plain forms.
+QUOTES = {"'": "‘’‚‛′", '"': "“”„‟″"}
+DASHES = {"-": "‐‑‒–—―−"}
+
+
+def plain_signs(t: Column, quotes: bool = True, dashes: bool = True) -> Column:
+    """Typographic quotes and dashes in their plain forms."""
+    for plain, signs in {**(QUOTES if quotes else {}), **(DASHES if dashes else {})}.items():
+        t = F.translate(t, signs, plain * len(signs))
+    return t
+
+
+#: The markers of a conversation.
+MARKERS = ("<|system|>", "<|user|>", "<|assistant|>")
+
+
+def assistant_response(t: Column, stops: tuple[str, ...] = (), assistant: str = MARKERS[2]) -> Column:
+    """What follows the last assistant marker, up to the first other marker or stop; no blanks at line ends, no blank lines around."""
+    import re
+
+    last = F.substring_index(F.regexp_replace(t, r"(?U)\A\s+|\s+\z", ""), assistant, -1)
+    ends = "|".join(re.escape(m) for m in dict.fromkeys((*stops, *MARKERS)))
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(last, rf"(?s)\A(.*?)(?:(?:{ends}).*)?\z", 1), r"[ \t]+(?=\n|\z)", ""), r"(?U)\A\s+|\s+\z", "")
+
+
+def category_name(c: Column) -> Column:
+    """An identifier as lower-case words joined by underscores; a capital after a small letter begins a word."""
+    c = F.regexp_replace(c, r"(?<=\p{Ll})(?=\p{Lu})", "_")
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
+
+
+def canonical_json(*columns: str) -> Column:
+    """The columns as JSON with sorted keys and no blanks; nulls are left out."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
+
+
+def fingerprint(*columns: str) -> Column:
+    """SHA-256 of the canonical JSON of the columns."""
+    return F.sha2(canonical_json(*columns), 256)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskit.operators.windows import running_offsets
 from corpuskit.runtime import sized
 
 
@@ -70,3 +71,36 @@ def leakage(df: DataFrame, group: str, split: Column) -> DataFrame:
         .agg(F.count_distinct(split).alias("splits"), F.count(F.lit(1)).alias("rows"))
         .filter("splits > 1")
     )
+
+
+def allocate_by_fraction(total: int, ratios: dict[str, float]) -> dict[str, int]:
+    """Whole counts by largest remainder; ties go to the earlier name, and a split may stay empty."""
+    exact = [total * r for r in ratios.values()]
+    out = [int(x) for x in exact]
+    for k in sorted(range(len(out)), key=lambda k: (-(exact[k] - out[k]), k))[: max(0, total - sum(out))]:
+        out[k] += 1
+    return dict(zip(ratios, out))
+
+
+def shuffled(df: DataFrame, by: Column, id_col: str, seed: int) -> DataFrame:
+    """df with ``place`` from 0 within each split, in order of a seeded hash of the id.
+
+    The order of all rows is that of (split, hash, id); it is numbered in ranges,
+    so that no task sorts a whole split.
+    """
+    key = F.struct(by.alias("s"), F.sha2(F.concat(F.lit(f"{seed}\x00"), F.col(id_col).cast("string")), 256).alias("h"), F.col(id_col).alias("i"))
+    numbered = running_offsets(df.withColumn("_key", key).withColumn("_one", F.lit(1)), "_key", "_one", "_all")
+    sizes = numbered.groupBy("_key.s").agg(F.min("_all").alias("_first"))
+    return numbered.join(sizes, F.col("_key.s").eqNullSafe(F.col("s"))).withColumn("place", F.col("_all") - F.col("_first")).drop("_key", "_one", "_all", "_first", "s")
+
+
+def epoch_sample(df: DataFrame, id_col: str, seed: int, epoch: int, rank: int, workers: int, start: int = 0) -> DataFrame:
+    """(id, place): the ids that worker ``rank`` of ``workers`` reads in an epoch, in its order, from its ``start``-th on."""
+    one = shuffled(df.select(id_col), F.lit(0), id_col, seed + epoch)
+    mine = one.filter(F.pmod(F.col("place"), F.lit(workers)) == rank).select(id_col, F.floor(F.col("place") / workers).alias("place"))
+    return mine.filter(F.col("place") >= start)
+
+
+def worker_of(shard: Column, workers: int) -> Column:
+    """The worker that reads a shard."""
+    return F.pmod(shard, F.lit(workers))

@@ -13,14 +13,19 @@ from corpuskit.runtime import cut, sized
 NEAR_K, NEAR_SIMILARITY = 5, 0.92
 
 
-def staged(df: DataFrame, id_col: str = "record_id", near: bool = True) -> DataFrame:
+def staged(df: DataFrame, id_col: str = "record_id", near: bool = True, minimum: int = 0) -> DataFrame:
     """Every record with ``reason`` (accepted, or why not), ``duplicate_of`` and ``n_tokens`` (bytes) of the normalized text.
 
     In order of id, duplicates are exact, normalized or (with ``near``) near
-    ones of an accepted record.
+    ones of an accepted record. What is left and has fewer than ``minimum``
+    tokens is too_few_tokens; that comes last, so a record that others are
+    duplicates of may still be too short.
     """
     stages = _without_twins(df, id_col)
-    return _without_near(df, cut(stages), id_col) if near else stages
+    if near:
+        stages = _without_near(df, cut(stages), id_col)
+    short = (F.col("reason") == "accepted") & (F.col("n_tokens") < minimum)
+    return stages.withColumn("reason", F.when(short, "too_few_tokens").otherwise(F.col("reason"))) if minimum else stages
 
 
 def _without_near(df: DataFrame, stages: DataFrame, id_col: str) -> DataFrame:
