@@ -149,3 +149,34 @@ def masked_example(prompt: Column, answer: Column, context: int, pad: int = 0, i
     labels = F.concat(F.array_repeat(F.lit(ignore), masked), F.slice(cut, masked + 2, context))
     fill = lambda a, x: F.concat(a, F.array_repeat(F.lit(x), F.greatest(F.lit(0), F.lit(context) - F.size(a))))
     return fill(F.slice(cut, 1, F.size(cut) - 1), pad), fill(labels, ignore)
+
+
+def words(t: Column, newline: str | None = None, contractions: bool = True, punctuation: bool = True) -> Column:
+    """Word tokens with options: a token for runs of line ends (none at the start), words split at apostrophes, punctuation left out.
+
+    Signs that are no punctuation stay even where that is left out.
+    """
+    inner = r"(?:'[\p{L}\p{M}\p{N}]+)*" if contractions else ""
+    line = r"[\r\n]+|" if newline is not None else ""
+    found = F.regexp_extract_all(F.regexp_replace(t, r"(?U)\A\s+", ""), F.lit(rf"(?U){line}[\p{{L}}\p{{M}}\p{{N}}]+{inner}|[^\s\p{{L}}\p{{M}}\p{{N}}]"), F.lit(0))
+    if not punctuation:
+        found = F.filter(found, lambda x: ~x.rlike(r"^\p{P}$"))
+    if newline is not None:
+        found = F.transform(found, lambda x: F.when(x.rlike(r"^[\r\n]"), newline).otherwise(x))
+    return found
+
+
+def ended(ids: Column, eos: int = 3) -> Column:
+    """Ids with an end token, unless they end in one; empty arrays stay empty."""
+    return F.when(F.size(ids) == 0, ids).when(F.element_at(ids, -1) == eos, ids).otherwise(F.concat(ids, F.array(F.lit(eos))))
+
+
+def response_example(prompt: Column, answer: Column, context: int, eos: int = 3, pad: int = 0, ignore: int = -100) -> tuple[Column, Column]:
+    """(inputs, labels) of ``context`` ids that keep the answer: it is cut to context, the prompt to the last ids that fit before it; labels of the prompt are ignored."""
+    said = F.slice(ended(answer, eos), 1, context)
+    room = F.lit(context) - F.size(said)
+    given = F.when(room > 0, F.slice(prompt, F.greatest(F.lit(1), F.size(prompt) - room + 1), F.greatest(room, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    inputs = F.concat(given, said)
+    labels = F.concat(F.array_repeat(F.lit(ignore), F.size(given)), said)
+    fill = lambda a, x: F.concat(a, F.array_repeat(F.lit(x), F.lit(context) - F.size(a)))
+    return fill(inputs, pad), fill(labels, ignore)

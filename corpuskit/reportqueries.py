@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from corpuskit import catalog
 from corpuskit.catalog import _BUILD, _CHECKS, _CLEAN, _NORM, _SUFFIX, _TOKENS, _contains, query
 from corpuskit.functions import text as T
-from corpuskit.operators import dedup, evalmetrics, lines, pysource, quality, reports, splits, tokens, validate, windows
+from corpuskit.operators import bpe, dedup, evalmetrics, index, lines, pysource, quality, reports, splits, tokens, validate, windows
 from corpuskit.plans import corpus
+from corpuskit.sources import readers
 
 _PY = f"{_SUFFIX} = '.py'"
 _B = "octet_length(encode(text))"
@@ -421,3 +422,62 @@ def prioritized_names(p, r):
 def event_gaps(e):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select("user_id", "event_type", "ts", F.row_number().over(w).alias("n"), F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts")).alias("gap"))
+
+
+# Tokens of a public vocabulary, the source index
+
+#: Public vocabularies of the machine; another folder can be set before the queries run.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("documents", sql="select doc_id, sha256(nfc_normalize(text)) as h from documents where text is not null")
+def bpe_round_trip(d):
+    """Texts encoded by the public BPE and decoded again."""
+    return bpe.decode(bpe.encode(d, "doc_id", "text", VOCABULARY), "doc_id", "ids", VOCABULARY).select("doc_id", F.sha2("text", 256).alias("h"))
+
+
+@query("source_manifest", sql=r"""with p as (select distinct stored_path, string_split(ltrim(replace(stored_path, '\', '/'), '/'), '/') as a from source_manifest)
+    select stored_path, case when len(a) > 1 then a[1] end as section, case when len(a) > 2 and a[1] = 'github' then a[2] end as repository from p""")
+def path_sections(m):
+    return readers.with_sections(m.select("stored_path").distinct(), "stored_path")
+
+
+@query("code_records", "source_manifest", sql=r"""select record_id, path as stored_path, 'manual_raw' as source_id from code_records where path is null or path not in (select stored_path from source_manifest where stored_path is not null)""")
+def manual_files(r, m):
+    return readers.manual_files(r.select("record_id", F.col("path").alias("stored_path")), m)
+
+
+@query("documents", sql="""with t as (select doc_id, octet_length(encode(text)) as n, coalesce(sum(octet_length(encode(text))) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as b from documents where text is not null)
+    select doc_id, n from t where b + n <= 300000""")
+def within_bytes(d):
+    """Texts in order that lie wholly within a budget of 300,000 bytes (the cut one is left out of the comparison)."""
+    n = F.octet_length("text").cast("bigint")
+    w = readers.within_bytes(d.select("doc_id", "text", n.alias("n")), "doc_id", "text", 300_000)
+    return w.filter(F.octet_length("text") == F.col("n")).select("doc_id", "n")
+
+
+@query("source_manifest", "code_records")
+def index_population(m, r):
+    return index.population_report(index.build_index(m, r)[0])
+
+
+@query("source_manifest", "code_records")
+def index_reload(m, r):
+    files, categories, _ = index.build_index(m, r)
+    return index.reloaded(files, categories).select("stored_path", F.array_join("categories", ",").alias("categories"), "primary")
+
+
+@query(
+    "source_manifest",
+    "code_records",
+    sql=f"""with recursive v as ({catalog.SQL['manifest_verdicts']}), a as (select record_id, min(stored_path) as stored_path from v where reason = 'accepted' group by 1),
+    t as (select record_id, {_B} + 1 as n, row_number() over (order by record_id) as k from a join code_records using (record_id)),
+    f as (select k, record_id, n, 0::bigint as shard, 0::bigint as "offset" from t where k = 1 union all
+        select t.k, t.record_id, t.n, case when f."offset" + f.n + t.n > 50000 then f.shard + 1 else f.shard end, case when f."offset" + f.n + t.n > 50000 then 0 else f."offset" + f.n end from f join t on t.k = f.k + 1)
+    select record_id, n, shard, "offset" from f""",
+)
+def manifest_token_shards(m, r):
+    """Accepted manifest rows' texts in bytes and an end token, in shards of 50,000 tokens by next fit, never split."""
+    v = validate.manifest_verdicts(m, r, "record_id", syntax=False).filter("reason = 'accepted'").select("record_id").distinct()
+    t = r.select("record_id", (F.octet_length("text") + 1).cast("bigint").alias("n")).join(v, "record_id", "left_semi")
+    return windows.next_fit_shards(t, "record_id", "n", 50_000)
