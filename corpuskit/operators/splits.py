@@ -90,8 +90,9 @@ def shuffled(df: DataFrame, by: Column, id_col: str, seed: int) -> DataFrame:
     """
     key = F.struct(by.alias("s"), F.sha2(F.concat(F.lit(f"{seed}\x00"), F.col(id_col).cast("string")), 256).alias("h"), F.col(id_col).alias("i"))
     numbered = running_offsets(df.withColumn("_key", key).withColumn("_one", F.lit(1)), "_key", "_one", "_all")
-    sizes = numbered.groupBy("_key.s").agg(F.min("_all").alias("_first"))
-    return numbered.join(sizes, F.col("_key.s").eqNullSafe(F.col("s"))).withColumn("place", F.col("_all") - F.col("_first")).drop("_key", "_one", "_all", "_first", "s")
+    sizes = numbered.groupBy(F.col("_key.s").alias("_s")).agg(F.min("_all").alias("_first"))
+    j = numbered.join(sizes, F.col("_key.s").eqNullSafe(F.col("_s")))
+    return j.withColumn("place", F.col("_all") - F.col("_first")).drop("_key", "_one", "_all", "_first", "_s")
 
 
 def epoch_sample(df: DataFrame, id_col: str, seed: int, epoch: int, rank: int, workers: int, start: int = 0) -> DataFrame:

@@ -69,7 +69,7 @@ def packed_stream(ids: DataFrame, stream: str, order: str, length: int) -> DataF
     def pack(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, number = state.get if state.exists else ([], 0)
         rows = pd.concat(list(batches)).sort_values(order)
-        buffer = [*held, *(x for a in rows["ids"] if a is not None for x in a)]
+        buffer = [*held, *(int(x) for a in rows["ids"] if a is not None for x in a)]
         whole = len(buffer) // length
         state.update((buffer[whole * length :], number + whole))
         yield pd.DataFrame({stream: [key[0]] * whole, "sequence": range(number, number + whole), "ids": [buffer[k * length : (k + 1) * length] for k in range(whole)]})
@@ -87,7 +87,7 @@ def until_bytes(rows: DataFrame, stream: str, order: str, size: str, target: int
         total = state.get[0] if state.exists else 0
         part = pd.concat(list(batches)).sort_values(order)
         before = total + part[size].cumsum() - part[size]
-        state.update((int(min(target, total + part[size].sum())),))
+        state.update((min(target, total + int(part[size].sum())),))
         yield part[before < target]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
