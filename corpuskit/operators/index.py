@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.runtime import sized
+
 
 def search(
     files: DataFrame, symbols: DataFrame, categories: DataFrame, text: str, category: str | None = None, limit: int = 100, most_symbols: int = 20
@@ -21,9 +23,9 @@ def search(
     out = files.join(by_symbol, "record_id", "left").filter(hit("path") | hit("repo_name") | F.col("_by_symbol").isNotNull()).drop("_by_symbol")
     if category is not None:
         out = out.join(categories.filter(F.lower("category") == category.lower()).select("record_id"), "record_id", "left_semi")
-    page = out.orderBy(F.coalesce("path", F.lit("")), "record_id").limit(limit)
-    kinds = categories.join(F.broadcast(page.select("record_id")), "record_id").groupBy("record_id").agg(F.array_sort(F.collect_set("category")).alias("categories"))
-    names = found.join(F.broadcast(page.select("record_id")), "record_id").groupBy("record_id").agg(
+    page, _ = sized(out.orderBy(F.coalesce("path", F.lit("")), "record_id").limit(limit))
+    kinds = categories.join(page.select("record_id"), "record_id").groupBy("record_id").agg(F.array_sort(F.collect_set("category")).alias("categories"))
+    names = found.join(page.select("record_id"), "record_id").groupBy("record_id").agg(
         F.slice(F.array_sort(F.collect_set("symbol")), 1, most_symbols).alias("symbols")
     )
     return page.join(kinds, "record_id", "left").join(names, "record_id", "left")

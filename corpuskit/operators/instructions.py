@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import copy
 import hashlib
 import re
 import textwrap
@@ -103,27 +102,37 @@ _OPPOSITE = {
 _SWAPPED = {ast.Add: ast.Sub, ast.Sub: ast.Add}
 
 
-def _edit(node: ast.AST) -> Callable[[], None] | None:
-    """How to break this node, if it is one that can be broken."""
+def _edit(node: ast.AST) -> tuple[str, object] | None:
+    """The attribute and its new value that break this node, if it is one that can be broken."""
     match node:
         case ast.Compare(ops=[first, *rest]) if type(first) in _OPPOSITE:
-            return lambda: setattr(node, "ops", [_OPPOSITE[type(first)](), *rest])
+            return "ops", [_OPPOSITE[type(first)](), *rest]
         case ast.Constant(value=bool(value)):
-            return lambda: setattr(node, "value", not value)
+            return "value", not value
         case ast.BinOp(op=op) if type(op) in _SWAPPED:
-            return lambda: setattr(node, "op", _SWAPPED[type(op)]())
+            return "op", _SWAPPED[type(op)]()
     return None
 
 
+def _unparsed_with(changes: list[tuple[ast.AST, str, object]], node: ast.AST) -> str:
+    """The definition's text with some attributes changed; the tree is as before afterwards."""
+    kept = [(n, name, getattr(n, name)) for n, name, _ in changes]
+    try:
+        for n, name, value in changes:
+            setattr(n, name, value)
+        return ast.unparse(node)
+    finally:
+        for n, name, value in kept:
+            setattr(n, name, value)
+
+
 def with_a_bug(node: ast.AST) -> str | None:
     """The definition with its first comparison, truth value or sum (from the outside in, left to right) turned round."""
-    broken = copy.deepcopy(node)
-    todo = [broken]
+    todo = [node]
     while todo:
         n = todo.pop()
         if edit := _edit(n):
-            edit()
-            return ast.unparse(broken)
+            return _unparsed_with([(n, *edit)], node)
         todo.extend(reversed(list(ast.iter_child_nodes(n))))
     return None
 
@@ -156,9 +165,7 @@ def as_comprehension(node: ast.AST) -> str | None:
             part = ast.comprehension(target=loop.target, iter=loop.iter, ifs=tests, is_async=int(isinstance(loop, ast.AsyncFor)))
         case _:
             return None
-    better = copy.copy(node)
-    better.body = [*doc, ast.Return(value=ast.ListComp(elt=item, generators=[part]))]
-    return ast.unparse(ast.fix_missing_locations(better))
+    return _unparsed_with([(node, "body", [*doc, ast.Return(value=ast.ListComp(elt=item, generators=[part]))])], node)
 
 
 def _hints(node: ast.AST) -> list[ast.arg]:
@@ -167,19 +174,14 @@ def _hints(node: ast.AST) -> list[ast.arg]:
 
 
 def _without_hints(node: ast.AST) -> str | None:
-    if not any(x.annotation for x in _hints(node)) and node.returns is None:
+    hinted = [(x, "annotation", None) for x in _hints(node) if x.annotation]
+    if not hinted and node.returns is None:
         return None
-    plain = copy.deepcopy(node)
-    plain.returns = None
-    for x in _hints(plain):
-        x.annotation = None
-    return ast.unparse(plain)
+    return _unparsed_with([*hinted, (node, "returns", None)], node)
 
 
 def _with_body(node: ast.AST, body: list[ast.stmt]) -> str:
-    other = copy.copy(node)
-    other.body = body
-    return ast.unparse(ast.fix_missing_locations(other))
+    return _unparsed_with([(node, "body", body)], node)
 
 
 def loop_depth(e: Element) -> int:
@@ -257,6 +259,8 @@ def _api(e: Element) -> tuple[str, str] | None:
 
 def used_import(e: Element) -> str | None:
     """The first imported name, in order of the imports, that the definition reads."""
+    if not e.imports:
+        return None
     read = {n.id for n in ast.walk(e.node) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)}
     return next((n for n in e.imports if n in read), None)
 

@@ -59,3 +59,11 @@ def length_statistics(df: DataFrame, by: list[str], columns: list[str]) -> DataF
         n = F.length(c)
         aggs += [F.avg(n).alias(f"{c}_mean"), F.median(n).alias(f"{c}_median"), F.min(n).alias(f"{c}_least"), F.max(n).alias(f"{c}_most")]
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("records"), *aggs)
+
+
+def converted(df: DataFrame, order: str, instruction: str, given: str, output: str) -> DataFrame:
+    """(order, instruction, input, output): trimmed triples with an instruction and an output, the first of equal ones in order."""
+    t = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\A\s+|\s+\z", "")
+    rows = df.select(F.col(order).alias("_o"), t(instruction).alias("instruction"), t(given).alias("input"), t(output).alias("output"))
+    full = rows.filter("instruction <> '' and output <> ''")
+    return full.groupBy("instruction", "input", "output").agg(F.min("_o").alias(order)).select(order, "instruction", "input", "output")

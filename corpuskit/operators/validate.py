@@ -174,8 +174,8 @@ def instruction_sources(df: DataFrame, keep: list[str], text: str = "text", leas
     return df.select(*keep, reason.alias("reason"))
 
 
-def collection_reasons(df: DataFrame, id_col: str, path: str, text: str, suffixes: tuple[str, ...], syntax: bool = True, least=16, most=1_000_000, lines=8) -> DataFrame:
-    """(id, reason): the collector's verdict on candidates.
+def collection_reasons(df: DataFrame, id_col: str, path: str, text: str, suffixes: tuple[str, ...], syntax: bool = True, least=16, most=1_000_000, lines=8, extra: tuple[tuple[str, Column], ...] = ()) -> DataFrame:
+    """(id, reason): the collector's verdict on candidates; ``extra`` are a user's own (reason, condition) checks, which come last.
 
     unsupported_extension, generated_file (by name), too_small, too_large,
     invalid_utf8 (null text), generated_file (a mark in the first ``lines``
@@ -193,7 +193,7 @@ def collection_reasons(df: DataFrame, id_col: str, path: str, text: str, suffixe
     ]
     if syntax:
         checks.append(("invalid_python_syntax", (T.content_type(F.col(path)) == "python_code") & ~python_parses(t)))
-    return df.select(id_col, first_reason(*checks, otherwise="accepted").alias("reason"))
+    return df.select(id_col, first_reason(*checks, *extra, otherwise="accepted").alias("reason"))
 
 
 def corpus_verdicts(df: DataFrame, id_col: str, path: str, text: str) -> DataFrame:

@@ -108,23 +108,24 @@ def shard_index(sharded: DataFrame, length: int) -> DataFrame:
     )
 
 
-def sliding_windows(df: DataFrame, ids: str, context: int, stride: int, short: str = "skip", pad: int = 0) -> DataFrame:
+def sliding_windows(df: DataFrame, ids: str, context: int, stride: int, short: str = "skip", pad: int = 0, pad_target: int | None = None) -> DataFrame:
     """df's rows exploded to (start, inputs, targets, tokens) of ``context`` ids, targets shifted by one.
 
     Rows of at most ``context`` ids give none, or with ``short`` = "pad" one
-    window filled with ``pad``; ``tokens`` is its number of own inputs. Rows of
-    fewer than two ids give none.
+    window filled with ``pad`` (its targets with ``pad_target`` if given, such as
+    an index that a loss ignores); ``tokens`` is its number of own inputs. Rows
+    of fewer than two ids give none.
     """
     n = F.size(ids)
     whole = F.when(n > context, F.sequence(F.lit(0), n - context - 1, F.lit(stride)))
     starts = whole.when((n > 1) & F.lit(short == "pad"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    fill = lambda a: F.concat(a, F.array_repeat(F.lit(pad), F.lit(context) - F.size(a)))
+    fill = lambda a, x=pad: F.concat(a, F.array_repeat(F.lit(x), F.lit(context) - F.size(a)))
     inputs = F.slice(ids, F.col("start") + 1, F.least(F.lit(context), n - 1 - F.col("start")))
     return df.select("*", F.explode(starts).alias("start")).select(
         *[c for c in df.columns if c != ids],
         "start",
         fill(inputs).alias("inputs"),
-        fill(F.slice(ids, F.col("start") + 2, context)).alias("targets"),
+        fill(F.slice(ids, F.col("start") + 2, context), pad if pad_target is None else pad_target).alias("targets"),
         F.size(inputs).alias("tokens"),
     )
 

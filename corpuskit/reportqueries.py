@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corpuskit import catalog
 from corpuskit.catalog import _BUILD, _CHECKS, _CLEAN, _NORM, _SUFFIX, _TOKENS, _contains, query
 from corpuskit.functions import text as T
-from corpuskit.operators import bpe, dedup, evalmetrics, index, lines, pysource, quality, reports, splits, tokens, validate, windows
-from corpuskit.plans import corpus
+from corpuskit.operators import bpe, dedup, evalmetrics, index, lines, pysource, quality, reports, sft, splits, tokens, validate, windows
+from corpuskit.plans import corpus, instructions, merged
 from corpuskit.sources import readers
 
 _PY = f"{_SUFFIX} = '.py'"
@@ -481,3 +481,30 @@ def manifest_token_shards(m, r):
     v = validate.manifest_verdicts(m, r, "record_id", syntax=False).filter("reason = 'accepted'").select("record_id").distinct()
     t = r.select("record_id", (F.octet_length("text") + 1).cast("bigint").alias("n")).join(v, "record_id", "left_semi")
     return windows.next_fit_shards(t, "record_id", "n", 50_000)
+
+
+# The two other builds
+
+
+@query("source_manifest", "code_records")
+def merged_build(m, r):
+    """The merged corpus with syntax, over all sources: rows per reason."""
+    return merged.staged(m, r).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("source_manifest", "code_records")
+def merged_shards(m, r):
+    """Shards of 100,000 tokens of the merged corpus in a public vocabulary: sequences, tokens and bytes."""
+    return windows.shard_index(merged.build(m, r, VOCABULARY, most_tokens=100_000)[2], 1025)
+
+
+@query("code_records")
+def instruction_dataset(r):
+    """Records of the instruction dataset per split and category; those with problems have no split."""
+    py = r.filter(pysource.is_python(F.col("path"), F.col("text"))).withColumn("repo", F.lower(F.trim("repo_name")))
+    return instructions.build(py, group="repo")[1].rollup("split", "category").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("records"))
+
+
+@query("eval_items", sql=r"""select min(item_id) as item_id, i as instruction, o as output from (select item_id, regexp_replace(coalesce(prompt, ''), '^\s+|\s+$', '', 'g') as i, regexp_replace(coalesce(answer, ''), '^\s+|\s+$', '', 'g') as o from eval_items) where i <> '' and o <> '' group by 2, 3""")
+def converted_records(e):
+    return sft.converted(e.withColumn("given", F.lit("")), "item_id", "prompt", "given", "answer").drop("input")

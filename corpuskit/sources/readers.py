@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import gzip
+import hashlib
 import io
 import json
 import os
@@ -313,3 +314,28 @@ def read_indexed(spark: SparkSession, folder: str) -> DataFrame:
         at += shard["sequences"]
     starts = F.create_map(*[F.lit(x) for kv in first.items() for x in kv]) if first else F.create_map()
     return read_packed(spark, folder, length).select((F.element_at(starts, F.col("shard")) + F.col("sequence")).alias("sequence"), "ids")
+
+
+def shard_problems(folder: str) -> list[str]:
+    """What is wrong with a folder of packed shards against its index: missing or strange files, sizes, digests, totals. Empty if it is ready to be read."""
+    path = os.path.join(folder, "index.json")
+    if not os.path.exists(path):
+        return ["index.json is missing"]
+    with open(path) as f:
+        index = json.load(f)
+    wrong = []
+    for shard in index["shards"]:
+        file = os.path.join(folder, f"{shard['shard']}.bin")
+        if not os.path.exists(file):
+            wrong.append(f"{shard['shard']} is missing")
+            continue
+        if os.path.getsize(file) != shard["bytes"] or shard["bytes"] != 2 * shard["sequences"] * index["sequence_length"]:
+            wrong.append(f"{shard['shard']} has another size")
+        with open(file, "rb") as f:
+            if "sha256" in shard and hashlib.file_digest(f, "sha256").hexdigest() != shard["sha256"]:
+                wrong.append(f"{shard['shard']} has another digest")
+    named = {f"{s['shard']}.bin" for s in index["shards"]}
+    wrong += [f"{x} is not in the index" for x in sorted(os.listdir(folder)) if x.endswith(".bin") and x not in named]
+    if index["sequences"] != sum(s["sequences"] for s in index["shards"]):
+        wrong.append("the number of sequences differs")
+    return wrong
