@@ -79,11 +79,11 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
 
 
 def _alike(rest: DataFrame, threshold: float) -> DataFrame:
-    """Rows of large buckets with ``leader``, the bucket's least rep, and ``alike``: surely similar to it."""
+    """Rows of large buckets with ``alike``: surely similar to the bucket's least rep."""
     sure = math.ceil(TRAIL * (threshold + (1 - threshold) / 3))
     leaders, _ = sized(rest.groupBy("bucket").agg(F.min(F.struct("rep", "sig")).alias("l")))
     alike = agreeing("sig", "l.sig") >= sure
-    return cut(rest.join(leaders, "bucket").select("bucket", "rep", "sig", F.col("l.rep").alias("leader"), alike.alias("alike")))
+    return cut(rest.join(leaders, "bucket").select("bucket", "rep", "sig", alike.alias("alike")))
 
 
 def _block_pairs(least: int):
@@ -146,7 +146,7 @@ def _within_buckets(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
     )
 
 
-def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SMALL, complete: bool = True) -> DataFrame:
+def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
     """Distinct candidate pairs (a < b) of classes by the chosen-path join.
 
     Level 0 splits all sets by RUNS independent min-wise tokens. A bucket of at
@@ -157,10 +157,7 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
 
     Splitting can't part truly similar sets. At the levels in CROWDS the sets
     that are like the first one of their large bucket are compared with the
-    whole bucket at once and leave it. With ``complete`` false they are only linked to the first
-    one, which is linear in their number but may lose links that groups need:
-    those to sets that are not like the first one, and all of a set whose link
-    to the first one turns out to be below the threshold. No query uses it.
+    whole bucket at once and leave it.
 
     A pair of similarity t is missed by level 0 with probability (1-t)**RUNS
     (5e-8 at 0.7); each deeper level misses a pair of one bucket with (1-t)**FAN.
@@ -188,13 +185,8 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
         rest = rows.join(large, "bucket")
         if depth in CROWDS:
             rest = _alike(rest, threshold)
-            if complete:
-                found.append(_within_buckets(rest.filter("alike"), rest, least))
-                rest = rest.filter("not alike")
-            else:
-                found.append(rest.filter("alike and rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-                rest = rest.filter("not alike or rep = leader")
-            rest = rest.select("bucket", "rep", "sig")
+            found.append(_within_buckets(rest.filter("alike"), rest, least))
+            rest = rest.filter("not alike").select("bucket", "rep", "sig")
         if depth == DEPTH:
             found.append(_within_buckets(rest, rest, least))
             break
@@ -208,19 +200,16 @@ def chosen_path_candidates(classes: DataFrame, threshold: float, small: int = SM
 
 
 def chosen_path_pairs(
-    df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, complete: bool = True
+    df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates of a table: (links between classes: a, b, similarity) and (members: id, rep).
 
-    With ``complete`` false crowded buckets give links to one set of theirs
-    only, and groups may fall apart (see ``chosen_path_candidates``).
-
     Null and short texts (fewer than k words) are in no class; equal sets are
     one class, represented by its least id; repeated ids count once a row. An
     empty table gives empty results. Other columns don't matter.
     """
     members, classes = set_classes(cut(signatures(df, id_col, text_col, k)))
-    pairs = chosen_path_candidates(classes, threshold, SMALL, complete)
+    pairs = chosen_path_candidates(classes, threshold, SMALL)
     return verified(pairs, df, id_col, text_col, k, threshold), members
 
 
