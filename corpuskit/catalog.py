@@ -540,7 +540,8 @@ def hash_split(d):
 _GROUPS = """with g as (select distinct coalesce(lower(trim(repo_name)), '') as g from code_records), r as (select g, row_number() over (order by sha256('42' || chr(0) || g), g) - 1 as k from g),
     n as (select count(*) as n from g), x as (select * from (values ('train', 0.9::double, 1), ('validation', 0.05::double, 2), ('test', 0.05::double, 3)) t(s, ratio, i)),
     b as (select s, ratio, i, n, n * ratio as exact, floor(n * ratio)::bigint as c from x, n),
-    a as (select s, i, c + case when row_number() over (order by exact - c desc, ratio desc, i) <= n - sum(c) over () then 1 else 0 end as c from b),
+    a0 as (select s, i, n, c + case when row_number() over (order by exact - c desc, ratio desc, i) <= n - sum(c) over () then 1 else 0 end as c from b),
+    a as (select s, i, case when n < 3 then c when c = 0 then 1 when i = 1 then c - count(*) filter (c = 0) over () else c end as c from a0),
     e as (select s, i, coalesce(sum(c) over (order by i rows between unbounded preceding and 1 preceding), 0) as low, sum(c) over (order by i) as high from a)"""
 
 
