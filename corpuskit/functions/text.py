@@ -61,6 +61,11 @@ def normalize_license(c: Column) -> Column:
     return lookup(F.regexp_replace(F.lower(c), "[^a-z0-9]+", ""), LICENSE_ALIASES)
 
 
+def first_license(names: Column) -> Column:
+    """The first of an array of spellings that is known; null if none is."""
+    return F.get(F.filter(F.transform(names, normalize_license), lambda x: x.isNotNull()), F.lit(0))
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(path, r"\\", "/"), r"([^/]*)\z", 1)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.operators.htmltext import clean_documentation, joined
 from corpuskit.operators.pysource import BAD
+from corpuskit.operators.quality import normalized
 
 
 def clean_line(line: str, form: str | None = "NFC", lower: bool = False, least: int = 1, most: int | None = None) -> tuple[str, str | None]:
@@ -67,6 +68,25 @@ def builder_text(text: str, comments: bool = True) -> str:
     return "\n".join(x.rstrip() for x in text.split("\n")).strip() + "\n"
 
 
+def corpus_text(text: str) -> str:
+    """LF line ends and no control characters, tabs as blanks to the next fourth column, no blanks at line ends, at most three line feeds in a row, one at the end.
+
+    Lines end at every line boundary of Unicode here, so form feeds, line
+    separators and the like become line feeds.
+    """
+    lines = [x.rstrip() for x in normalized(text).expandtabs(4).splitlines()]
+    return re.sub(r"\n{4,}", "\n\n\n", "\n".join(lines)).strip() + "\n"
+
+
+def corpus_texts(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: None if x is None else corpus_text(x))
+
+    return run(text)
+
+
 def final_text(text: str, suffix: str) -> str:
     """NFC, then Python as the builder has it, documentation cleaned, and anything else without blanks at line ends."""
     text = unicodedata.normalize("NFC", text)

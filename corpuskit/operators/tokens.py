@@ -180,3 +180,9 @@ def response_example(prompt: Column, answer: Column, context: int, eos: int = 3,
     labels = F.concat(F.array_repeat(F.lit(ignore), F.size(given)), said)
     fill = lambda a, x: F.concat(a, F.array_repeat(F.lit(x), F.lit(context) - F.size(a)))
     return fill(inputs, pad), fill(labels, ignore)
+
+
+def vocabulary_use(df: DataFrame, ids: str, size: int) -> DataFrame:
+    """One row: tokens, distinct ids used, and their share of a vocabulary of ``size``."""
+    per = df.select(F.explode(ids).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("used"), (F.count(F.lit(1)) / F.lit(size)).alias("utilization"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuskit import catalog
-from corpuskit.catalog import _BUILD, _CHECKS, _CLEAN, _NORM, _SUFFIX, _TOKENS, _contains, query
+from corpuskit.catalog import _BUILD, _CHECKS, _CLEAN, _IDS, _NORM, _SUFFIX, _TOKENS, _contains, query
 from corpuskit.functions import text as T
 from corpuskit.operators import bpe, dedup, evalmetrics, index, lines, pysource, quality, reports, sft, splits, tokens, validate, windows
 from corpuskit.plans import corpus, instructions, merged
@@ -185,6 +185,17 @@ def cleaned_lines(d):
     return lines.cleaned_lines(d, ["doc_id"], least=3, most=2_000).groupBy("skipped").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
+@query("code_records")
+def corpus_texts(r):
+    """The corpus' own normal form of each text, as its hash."""
+    return r.filter("text is not null").select("record_id", F.sha2(lines.corpus_texts(F.col("text")), 256).alias("h"))
+
+
+@query("documents", sql=f"with {_IDS} select count(*) as tokens, count(distinct i) as used, round(count(distinct i) / 2000, 9) as utilization from (select unnest(ids) as i from e)")
+def vocabulary_use(d):
+    return tokens.vocabulary_use(catalog._encoded(d), "ids", 2000).withColumn("utilization", F.round("utilization", 9))
+
+
 # Reports
 
 

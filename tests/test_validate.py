@@ -98,6 +98,8 @@ def test_lines_and_answers(spark):
     assert sorted((x["id"], x["position"], x["line"], x["skipped"]) for x in lines.cleaned_lines(df, ["id"]).collect()) == [(1, 0, "a", None), (1, 1, "", "empty"), (1, 2, "b", None), (3, 0, "", "empty")]
     assert lines.without_comments("x = '#'  # c\ny = (1, # d\n 2)\n") == "x = '#'\ny = (1,\n 2)\n" and lines.without_comments("x = '") == "x = '"
     assert lines.final_text("é  \n", ".json") == "é\n" and lines.final_text("x = 1  \n", ".py") == "x = 1\n" and lines.final_text("<b>y</b>\nNext\n", ".md") == "y\n"
+    assert lines.corpus_text("a\tb  \r\n\x0c c\x07\n\n\n\n\n\nd\u2028e\x00\x00") == "a   b\n c\n\n\nd\ne\n" and lines.corpus_text("") == "\n"
+    assert one(spark, T.first_license(F.array(F.lit("mine"), F.lit("MIT License"), F.lit("isc")))) == "MIT" and one(spark, T.first_license(F.array(F.lit("x")))) is None
     assert lines.python_in_answer("See:\n```sh\nls\n```\n```python\nx = 1\n```") == "x = 1" and lines.python_in_answer("x = 1") == "x = 1"
     assert lines.python_in_answer("Here it is:\nimport os\nos.x()") == "import os\nos.x()" and lines.python_in_answer("No code at all here.") == ""
     assert lines.character_mix('"""ab"""\n# cd\nx = 1\n') == (5, 9)
