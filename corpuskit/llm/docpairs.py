@@ -180,14 +180,28 @@ def _python(text: str) -> tuple[list[Function], list[str]]:
     return sorted(found, key=lambda f: (f.first, f.symbol)), _LINE.split(text.replace("\f", " "))
 
 
-def _python_comments(lines: list[str], ends: set[int]) -> list[Comment]:
+def _python_comments(text: str, lines: list[str], ends: set[int], far: bool) -> list[Comment]:
+    """The comment blocks that end on one of the lines; what looks like one within a string is none."""
+
+    def is_comment(k: int) -> bool:
+        return 0 <= k < len(lines) and lines[k].lstrip().startswith("#")
+
+    found = [end for end in sorted(ends) if is_comment(end) and not is_comment(end + 1)]
+    # Right above a definition only a line that itself closes a string can deceive; farther off any may.
+    if found and (far or any('"' in lines[end] or "'" in lines[end] for end in found)):
+        spans = scan_python(text)[1]
+        starts = [0, *(m.end() for m in _LINE.finditer(text))]
+        real = {bisect_right(starts, a) - 1 for a, _ in spans if text[a] == "#"}
+    else:
+        real = None
     out = []
-    for end in sorted(ends):
-        if 0 <= end < len(lines) and lines[end].lstrip().startswith("#"):
-            at = end
-            while at > 0 and lines[at - 1].lstrip().startswith("#"):
-                at -= 1
-            out.append(Comment("\n".join(x.strip().lstrip("#").strip() for x in lines[at : end + 1]), end))
+    for end in found:
+        if real is not None and end not in real:
+            continue
+        at = end
+        while at > 0 and is_comment(at - 1) and (real is None or at - 1 in real):
+            at -= 1
+        out.append(Comment("\n".join(x.strip().lstrip("#").strip() for x in lines[at : end + 1]), end))
     return out
 
 
@@ -232,7 +246,7 @@ def _weight(f: Function, c: Comment, names: set[str]) -> float:
     farther off needs tags or names of the function to be taken at all.
     """
     gap = f.first - c.end - 1
-    score = NEAR[gap]
+    score = NEAR[min(gap, len(NEAR) - 1)]
     tags = set(_TAGS.findall(c.text))
     if tags:
         fit = len(tags & set(f.params)) / len(tags)
@@ -298,7 +312,7 @@ def pairs(text: str, lang: str, reach: int = REACH) -> list[tuple[str, str, str,
         if lang == "python":
             functions, lines = _python(text)
             ends = {f.first - 1 - gap for f in functions if f.docstring is None for gap in range(reach + 1)}
-            comments = _python_comments(lines, ends)
+            comments = _python_comments(text.removeprefix("\ufeff"), lines, ends, reach > 0)
         else:
             functions, lines, comments = _javascript(text)
     except (SyntaxError, SyntaxFault, ValueError):

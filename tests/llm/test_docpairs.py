@@ -114,6 +114,16 @@ def test_tags_win_over_nearness():
     assert [p[0] for p in docpairs.pairs(apart.replace("all this", "first()"), "python")] == ["first"]
 
 
+def test_comments_end_where_their_block_ends_and_lie_in_no_string():
+    text = "# Tells of first() in more\n# than one line of its own.\n\ndef first():\n    pass\n"
+    assert [p[1] for p in docpairs.pairs(text, "python")] == ["Tells of first() in more\nthan one line of its own."]
+    held = 'X = """\n# Says what first() does here."""\ndef first():\n    pass\n\nY = """\n# Says what second() does here.\n"""\ndef second():\n    pass\n'
+    assert docpairs.pairs(held, "python") == docpairs.pairs(held, "python", 0) == []
+    quoted = "# Says that it's \"first\" here.\ndef first():\n    pass\n"
+    assert [p[0] for p in docpairs.pairs(quoted, "python", 0)] == ["first"]
+    assert docpairs.pairs(text, "python", 9) == docpairs.pairs(text, "python")
+
+
 def test_assignment_is_not_greedy():
     """The best single link would leave the other function without its only candidate."""
     fs = [docpairs.Function("load_rows", "load_rows", 4, 4, ("path",), None), docpairs.Function("keep", "keep", 6, 7, ("path",), None)]
