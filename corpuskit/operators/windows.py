@@ -168,11 +168,11 @@ def next_fit_shards(df: DataFrame, order: str, size: str, capacity: int, rows: i
     its own. An empty table stays empty.
     """
     base = ranged(df, order, rows)
-    kind = base.schema[order].dataType.simpleString()
-    narrow = base.select("_r", order, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_n"))
+    base = cut(base.withColumn("_row", F.monotonically_increasing_id()))  # rows may share a value of the order
+    narrow = base.select("_r", "_row", order, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_n"))
 
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, lows, outs = _next_fit_map(pdf.sort_values(order, kind="stable")["_n"].to_numpy(), capacity)
+        total, lows, outs = _next_fit_map(pdf.sort_values([order, "_row"])["_n"].to_numpy(), capacity)
         return pd.DataFrame({"_r": [pdf["_r"].iat[0]], "total": [total], "lows": [lows], "outs": [outs]})
 
     filling: dict[int, int] = {}
@@ -182,7 +182,7 @@ def next_fit_shards(df: DataFrame, order: str, size: str, capacity: int, rows: i
         used = used + r["total"] if used + r["total"] <= capacity else r["outs"][bisect_left(r["lows"], used) - 1]
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values([order, "_row"])
         used, number, shards, offsets = filling[int(pdf["_r"].iat[0])], 0, [], []
         for n in pdf["_n"].tolist():
             if used + n > capacity:
@@ -190,13 +190,13 @@ def next_fit_shards(df: DataFrame, order: str, size: str, capacity: int, rows: i
             shards.append(number)
             offsets.append(used)
             used += n
-        return pd.DataFrame({"_r": pdf["_r"], order: pdf[order], "_own": shards, "offset": offsets})
+        return pd.DataFrame({"_r": pdf["_r"], "_row": pdf["_row"], "_own": shards, "offset": offsets})
 
-    filled = cut(narrow.groupBy("_r").applyInPandas(fill, f"_r int, `{order}` {kind}, _own bigint, offset bigint"))
+    filled = cut(narrow.groupBy("_r").applyInPandas(fill, "_r int, _row bigint, _own bigint, offset bigint"))
     begun = filled.groupBy("_r").agg(F.max("_own").alias("_m"))
     before = F.coalesce(F.sum("_m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = filled.join(F.broadcast(begun.select("_r", before.alias("_s"))), "_r")  # one row per range
-    return base.drop("_r").join(numbered.select(order, (F.col("_own") + F.col("_s") - 1).alias("shard"), "offset"), order)
+    return base.drop("_r").join(numbered.select("_row", (F.col("_own") + F.col("_s") - 1).alias("shard"), "offset"), "_row").drop("_row")
 
 
 def until_target(df: DataFrame, order: str, size: str, target: int) -> DataFrame:

@@ -50,7 +50,7 @@ def _without_twins(df: DataFrame, id_col: str) -> DataFrame:
     """One pass over the texts; what follows joins rows of two hashes."""
     base = cut(quality.clean_profiles(df, id_col, "path", "text"))
     twins = dedup.two_level(base.filter("clean = 'accepted'"), id_col, F.col("exact"), F.col("loose"))
-    return base.join(twins, id_col, "left").select(
+    return base.join(twins.dropDuplicates([id_col]), id_col, "left").select(  # rows given twice have their verdict twice
         id_col,
         F.coalesce(F.when(F.col("clean") != "accepted", F.col("clean")), "reason", F.lit("accepted")).alias("reason"),
         "duplicate_of",

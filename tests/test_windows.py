@@ -32,6 +32,12 @@ def test_next_fit_with_nulls_and_rows_beyond_the_capacity(spark):
     assert [got[i] for i in range(1, 6)] == sequential([0, 99, 1, 4, 0], 5)
 
 
+def test_next_fit_of_rows_given_twice(spark):
+    df = spark.createDataFrame([(1, 3, "a"), (1, 3, "a"), (2, 4, "b"), (2, 4, "b"), (3, 1, "c")], "id bigint, n bigint, t string")
+    got = windows.next_fit_shards(df, "id", "n", 7, rows=2).collect()
+    assert sorted((x["shard"], x["offset"], x["n"]) for x in got) == [(0, 0, 3), (0, 3, 3), (1, 0, 4), (2, 0, 4), (2, 4, 1)]
+
+
 def test_running_offsets_with_an_outlying_id(spark):
     rows = [(i, i % 7) for i in range(200)] + [(10**15, 3)]
     got = {x["id"]: x["offset"] for x in windows.running_offsets(spark.createDataFrame(rows, "id bigint, n bigint"), "id", "n", rows=20).collect()}
