@@ -259,6 +259,15 @@ def test_html_text(spark):
     assert one(spark, htmltext.documentation_text(F.col("t")), t="") == "\n"
 
 
+def test_odd_markup_does_not_end_the_job(spark):
+    texts = {
+        "a <![} b": "a <![} b\n", "<p>x <![--/@ y</p>": "x\n", "<html><p>a <![} b> c</p>": "a c\n", "<html><p>a <![nope[ b]]> c</p>": "a c\n",
+        "<html><p>a <![CDATA[ > ]]> c": "a c\n", "<html><p>a <![} b": "a < ![} b\n", "<html><p>a <!-- b": "a < !-- b\n", "<body>a &#" + "9" * 5000 + ";": "a \ufffd\n", "a &#" + "0" * 5000 + "65;b": "a Ab\n", None: None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "t string, want string")
+    assert {r["t"]: r["got"] for r in df.select("t", htmltext.documentation_text(F.col("t")).alias("got")).collect()} == texts
+
+
 def test_instruction_records(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 3, "user", "b"), (2, 0, "user", "c")], "c int, t int, role string, text string")
     got = {r["c"]: (r["system"], r["user"]) for r in sft.chat_prompt(turns, "c", "t", "role", "text").collect()}
